@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pixrel.llm import bpe, token_files
+from pixrel.llm import bpe, classifier, fingerprint, jaccard, mixing, pii, rules, token_files
 from pixrel.llm.common import scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,12 +23,46 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = classifier.train(docs, table(spark, sf_dir, "labels"))
+    return classifier.score(docs, model).select("doc_id", classifier.held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op3_pii": op3_pii,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_jaccard_join": op10_jaccard_join,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": mixing.oracle_sql(),
 }
-ORACLE_SQL: dict[str, str] = {}
