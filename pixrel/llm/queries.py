@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pixrel.llm import bpe, classifier, fingerprint, jaccard, mixing, pii, rules, token_files
+from pixrel.llm import bpe, classifier, fingerprint, jaccard, mixing, pii, rules, suffix, token_files
 from pixrel.llm.common import scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), path)
@@ -54,6 +58,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_files": op2_token_files,
     "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
