@@ -153,15 +153,19 @@ def hash_id(x: int) -> int:
     return int(mix(np.array([x], np.int64).view(np.uint64))[0])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, kept columns, score (0 to 1), predicted (1 where score >= THRESHOLD). Null texts score as empty ones."""
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [id_col, *keep]]
+def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """doc_id, kept columns, score (0 to 1), predicted (1 where score >= THRESHOLD). Null texts score as empty ones.
+
+    names tells the last two apart from kept columns of the same name. Rows are independent, whatever repeats.
+    """
+    out = list(dict.fromkeys([id_col, *keep]))
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # SIZE weights, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            scores = [m.score(indicators(x)) for x in texts(batch, "__text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [id_col, *keep]), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], names=[id_col, *keep, "score", "predicted"])
+            scores = [m.score(indicators(x)) for x in texts(batch, text)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], names=[*out, *names])
 
-    return map_arrow(docs.select(id_col, *keep, docs[text].alias("__text")), run, ", ".join([*fields, "score double", "predicted int"]))
+    return map_arrow(docs.select(*dict.fromkeys([*out, text])), run, ", ".join([*fields, f"`{names[0]}` double", f"`{names[1]}` int"]))

@@ -84,6 +84,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, blo
     return d.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + once).cast("long").alias("taken"))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The first n words of a text, with the white space between and after them."""
+    pieces = F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
+
+
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options: object) -> DataFrame:
+    """docs as the mix takes them: a document comes once for each full pass, and with its first words for a part.
+
+    All columns stay. Rows that nothing is taken of go. Rows alike in id, source and size share evenly what is taken
+    of them.
+    """
+    taken = mix(docs, id_col=id_col, text=text, source=source, **options).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words")).agg(F.sum("taken").alias("__taken"), F.count(F.lit(1)).alias("__rows"))
+    d = docs.withColumn("__size", word_count(docs[text]))
+    d = d.join(taken, d[id_col].eqNullSafe(F.col("__id")) & d[source].eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__words")))
+    place = F.when(F.col("__rows") > 1, F.row_number().over(Window.partitionBy("__id", "__source", "__words").orderBy(F.col(text)))).otherwise(1)
+    d = d.withColumn("__own", F.expr("__taken div __rows") + (place <= F.col("__taken") % F.col("__rows")).cast("long")).filter("__own > 0")
+    copies = F.sequence(F.lit(1).cast("long"), F.expr("__own div __size + if(__own % __size > 0, 1, 0)"))
+    d = d.withColumn("__copy", F.explode(copies))
+    d = d.withColumn(text, F.when(F.col("__copy") * F.col("__size") <= F.col("__own"), F.col(text)).otherwise(first_words(F.col(text), F.col("__own") % F.col("__size"))))
+    return d.select(*docs.columns)
+
+
 def oracle_sql(block: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: str = SEED) -> str:
     """The same in DuckDB SQL, but with every quotient made and ranked."""
     return rf"""

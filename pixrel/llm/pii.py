@@ -252,24 +252,26 @@ def find_pii(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep:
     """doc_id, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans (base and added), and with redacted the text.
 
     Rows are independent: repeated ids and rows are searched each, an empty table gives none. A null text has no
-    span and stays null. keep names further columns to hand through. The trees are trained once, on made-up
-    examples, and sent to the tasks.
+    span and stays null. keep names further columns to hand through; a result column that clashes with one of them
+    has two underscores before its name. The trees are trained once, on made-up examples, and sent to the tasks.
     """
     trees, limits = model()
-    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [id_col, *keep]]
-    schema = ", ".join([*fields, *(f"n_{k} long" for k in KINDS), "base_sha256 string", "spans string", *["__redacted string"] * redacted])
+    out = list(dict.fromkeys([id_col, *keep]))
+    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", *["redacted"] * redacted]
+    names = [f"__{n}" if n in out else n for n in names]
+    types = [*[pa.int64()] * len(KINDS), pa.string(), pa.string(), *[pa.string()] * redacted]
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[] for _ in [*names, ""][: len(names) + redacted]]
-            for t in batch.column("__text").to_pylist():
+            rows: list[list] = [[] for _ in names]
+            for t in batch.column(text).to_pylist():
                 base = base_spans(t or "")
                 spans = base + added_spans(t or "", base, trees, limits)
                 got = [*(sum(s[2] == k for s in base) for k in KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans)]
                 for c, v in zip(rows, [*got, None if t is None else redact(t, spans)], strict=False):
                     c.append(v)
-            types = [*[pa.int64()] * len(KINDS), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [id_col, *keep]), *(pa.array(c, k) for c, k in zip(rows, types, strict=False))], names=[id_col, *keep, *names, *["__redacted"] * redacted])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), *(pa.array(c, k) for c, k in zip(rows, types, strict=True))], names=[*out, *names])
 
-    return map_arrow(docs.select(id_col, *keep, docs[text].alias("__text")), run, schema)
+    schema = ", ".join([*fields, *(f"`{n}` {'string' if t == pa.string() else 'long'}" for n, t in zip(names, types, strict=True))])
+    return map_arrow(docs.select(*dict.fromkeys([*out, text])), run, schema)

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pixrel.llm import bpe, classifier, fingerprint, jaccard, mixing, pii, rules, suffix, token_files
+from pixrel.llm import bpe, classifier, fingerprint, jaccard, licenses, mixing, pii, rules, suffix, token_files
 from pixrel.llm.common import scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -41,6 +42,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, model).select("doc_id", classifier.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of the directories source/language."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))
+    return licenses.scan(table(spark, sf_dir, "documents"), path)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
     "op9_fingerprints": op9_fingerprints,
