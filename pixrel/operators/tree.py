@@ -93,6 +93,7 @@ def merge_tree(pixels: DataFrame, config: dict) -> DataFrame:
     weights = config["mergeEnergyWeights"]
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["y", "x"])  # sums in one order, so that reruns agree to the last bit
         h, w = int(rows["y"].max()) + 1, int(rows["x"].max()) + 1
         grid = np.zeros((h, w), np.int64)
         at = (rows["y"].to_numpy(), rows["x"].to_numpy())
