@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from pixrel.llm.common import map_arrow, texts
 
 #: Distinct chunks and words kept per Python worker; beyond it a cache starts anew, results are the same.
-CACHE_CHUNKS, CACHE_WORDS = 500_000, 900_000
+CACHE_CHUNKS, CACHE_WORDS = 700_000, 900_000
 #: Below this letter, classes of characters are the same in every version of Unicode that the libraries use.
 STABLE = "\u0250"
 
@@ -43,14 +43,9 @@ class WordSplitter:
         self.space = regex.compile(r"\s+")
         self.letters = byte_letters()
         self.back = {c: b for b, c in enumerate(self.letters)}
-        self.cache: dict[bytes, bytes] = {}
+        self.cache = LearningCache(self)
         self.word_cache: dict[bytes, bytes] = {}
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word, by the library's model."""
-        model, letters = self.library.model, self.letters
-        return [[t.id for t in model.tokenize("".join(map(letters.__getitem__, w)))] for w in words]
-
     def parts(self, chunk: bytes) -> list[bytes | int]:
         """Words (normalised, as bytes) and special ids of a chunk without ASCII white space."""
         if chunk.isalpha():  # ASCII letters alone
@@ -69,14 +64,6 @@ class WordSplitter:
         words = with_library.pre_tokenizer.pre_tokenize_str(with_library.normalizer.normalize_str(part))
         return [bytes(map(self.back.__getitem__, w)) for w, _ in words]
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Encode chunks (texts without ASCII white space) into the cache."""
-        learn_chunks(chunks, self.cache, self.word_cache, self.parts, lambda words: [np.array(x, "<u4").tobytes() for x in self.encode_words(words)])
-
-    def encode(self, batch: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text. White space never lies inside a token, so chunks between it stand alone."""
-        return encode_chunks(batch, self.cache, self.learn)
-
 
 class SpeculativeBpe(WordSplitter):
     """Encoder by proposal and verification, and decoder."""
@@ -230,6 +217,14 @@ class SpeculativeBpe(WordSplitter):
         self.checked, self.failed = self.checked + len(words), self.failed + len(bad)
         return got
 
+    def learn(self, chunks: list[bytes]) -> None:
+        """Encode chunks (texts without ASCII white space) into the cache."""
+        learn_chunks(chunks, self.cache, self.word_cache, self.parts, lambda words: [np.array(x, "<u4").tobytes() for x in self.encode_words(words)])
+
+    def encode(self, batch: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text. White space never lies inside a token, so chunks between it stand alone."""
+        return encode_chunks(batch, self.cache, self.learn)
+
     def decode(self, ids: bytes) -> str:
         """As the library without a decoder: token names, joined by spaces."""
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -244,6 +239,34 @@ def encode_chunks(batch: list[bytes], cache: dict[bytes, bytes], learn: Callable
     return [b"".join(map(cache.__getitem__, s)) for s in split]
 
 
+class LearningCache(dict[bytes, bytes]):
+    """Ids of chunks; a chunk that is new is encoded on the spot, by the library's model for words that are new."""
+
+    def __init__(self, splitter: WordSplitter) -> None:
+        super().__init__()
+        self.splitter = splitter
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        s, out = self.splitter, []
+        for p in s.parts(chunk):
+            if type(p) is not bytes:
+                out.append(p.to_bytes(4, "little"))
+                continue
+            if (ids := s.word_cache.get(p)) is None:
+                ids = s.word_cache[p] = b"".join([t.id.to_bytes(4, "little") for t in s.library.model.tokenize("".join(map(s.letters.__getitem__, p)))])
+            out.append(ids)
+        self[chunk] = ids = b"".join(out)
+        return ids
+
+    def encode(self, batch: list[bytes]) -> list[bytes]:
+        if len(self) > CACHE_CHUNKS:
+            self.clear()
+        if len(self.splitter.word_cache) > CACHE_WORDS:
+            self.splitter.word_cache.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, t.split())) for t in batch]
+
+
 def learn_chunks(chunks: list[bytes], cache: dict[bytes, bytes], words: dict[bytes, bytes], parts: Callable[[bytes], list], encode_words: Callable[[list[bytes]], list[bytes]]) -> None:
     plan = [parts(c) for c in chunks]
     if len(words) > CACHE_WORDS:

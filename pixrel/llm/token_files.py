@@ -17,7 +17,7 @@ from pixrel.llm.bpe import WordSplitter, encoder, slices
 from pixrel.llm.common import map_arrow, n_parts, remove, scratch, texts
 
 #: Tokens of a block (whole documents, so the last may pass it), tokens between checkpoints, longest code.
-BLOCK_TOKENS, CHECKPOINT, MAX_BITS = 65_536, 64, 20
+BLOCK_TOKENS, CHECKPOINT, MAX_BITS = 262_144, 64, 18
 FILE_SCHEMA = "part int, first long, start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, checkpoints binary, payload binary"
 
 
@@ -81,8 +81,8 @@ class Decoder:
     def __init__(self, lengths: np.ndarray) -> None:
         self.top = int(lengths.max(initial=1))
         _, ids = canonical(lengths)
-        self.ids = np.zeros(1 << self.top, np.int64)
-        self.bits = np.ones(1 << self.top, np.int64)
+        self.ids = np.zeros(1 << self.top, np.int32)
+        self.bits = np.ones(1 << self.top, np.uint8)
         reach = np.left_shift(1, self.top - lengths[ids])
         filled = int(reach.sum())
         self.ids[:filled] = np.repeat(ids, reach)
@@ -92,7 +92,7 @@ class Decoder:
         words = np.frombuffer(payload + b"\0" * (12 - len(payload) % 4), ">u4").astype(np.uint64)
         spans = np.frombuffer(checkpoints, "<u2").astype(np.int64)
         at = np.cumsum(spans) - spans
-        out = np.zeros((len(at), CHECKPOINT), np.int64)
+        out = np.zeros((CHECKPOINT, len(at)), np.int32)
         last = n - (len(at) - 1) * CHECKPOINT
         for k in range(CHECKPOINT):
             if k == last:  # the last lane is over
@@ -100,9 +100,9 @@ class Decoder:
             w = at >> 5
             two = (words[w] << np.uint64(32)) | words[w + 1]
             peek = ((two << (at & 31).astype(np.uint64)) >> np.uint64(64 - self.top)).astype(np.int64)
-            out[: len(at), k] = self.ids[peek]
+            out[k, : len(at)] = self.ids[peek]
             at = at + self.bits[peek]
-        return out.ravel()[:n]
+        return out.T.ravel()[:n]
 
 
 def range_buckets(docs: DataFrame, id_col: str, n: int) -> list[int]:
@@ -148,7 +148,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
             rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
             start = 0
             for i, part in slices(rows):
-                ids = [np.frombuffer(x + end_id.to_bytes(4, "little"), "<u4") for x in enc.encode([r[1] for r in part])]
+                ids = [np.frombuffer(x + end_id.to_bytes(4, "little"), "<u4") for x in enc.cache.encode([r[1] for r in part])]
                 yield pa.RecordBatch.from_arrays([pa.array([b] * len(part), pa.int32()), pa.array(range(i, i + len(part)), pa.int64()), pa.array([r[0] for r in part], pa.int64()), pa.array(start + np.cumsum([0, *map(len, ids[:-1])])), pa.array([narrow(x) for x in ids], pa.binary())], names=["part", "at", "doc_id", "start", "ids"])
                 start += sum(map(len, ids))
 
