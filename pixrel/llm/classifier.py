@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixrel.llm.common import HASH, LOWER, map_arrow, mix, texts, word_bounds
+from pixrel.llm.common import HASH, LOWER, map_arrow, mix, texts, tidy, word_bounds
 
 #: Labelled documents that the model is fitted on at most: those of the lowest hashes of their ids.
-FIT_DOCS = 12_000
+FIT_DOCS = 8_000
 #: Indicator spaces: byte trigrams, words, and word shapes with their share of the text.
 TRIGRAMS, WORDS, SHAPES = 1 << 17, 1 << 16, 1 << 14
 SIZE = TRIGRAMS + WORDS + SHAPES
@@ -88,15 +88,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     # dual coordinate descent for the L1 hinge loss, the bias as a constant feature; texts scaled to unit length
     w, b = np.zeros(SIZE), 0.0
     alpha = np.zeros(n)
-    values = [ratio[r] for r in rows]
-    norms = np.array([max(float(np.sqrt(v @ v)), 1e-9) for v in values])
-    values = [v / s for v, s in zip(values, norms, strict=True)]
+    norms = np.array([max(float(np.linalg.norm(ratio[r])), 1e-9) for r in rows])
     y = np.where(labels == 1, 1.0, -1.0)
     cost = COST * np.where(labels == 1, 1.0, max(1.0, float((labels == 1).sum() / max(1, (labels == 0).sum()))) ** 0.5)
     rng = np.random.RandomState(5)
     for _ in range(EPOCHS):
         for i in rng.permutation(train):
-            v, r = values[i], rows[i]
+            r = rows[i]
+            v = ratio[r] / norms[i]  # not kept: the driver holds the ids alone
             g = y[i] * (w[r] @ v + b) - 1
             new = min(max(alpha[i] - g / 2.0, 0.0), cost[i])  # squared length 1, and 1 of the bias
             if (step := (new - alpha[i]) * y[i]) != 0:
@@ -145,8 +144,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     d = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")
     got = map_arrow(d.select("__id", F.col("__label").cast("int").alias("__label"), "__text"), run, "id long, label int, ids binary").limit(bound).toArrow()
     rows = sorted(zip(got["id"].to_pylist(), got["ids"].to_pylist(), got["label"].to_pylist(), strict=True))
+    del got
     order = np.argsort([hash_id(r[0]) for r in rows], kind="stable") if rows else []
-    return fit([np.frombuffer(rows[i][1], np.int32) for i in order], np.array([rows[i][2] for i in order], np.int64))
+    model = fit([np.frombuffer(rows[i][1], np.int32) for i in order], np.array([rows[i][2] for i in order], np.int64))
+    del rows
+    tidy()
+    return model
 
 
 def hash_id(x: int) -> int:
