@@ -8,31 +8,35 @@ are repeated: breadth-first backward extension derives common prefixes by increa
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixrel.llm.common import HASH, map_arrow, materialize, n_parts, texts
+from pixrel.llm.common import HASH, map_arrow, materialize, mix, n_parts, texts
 
 LENGTH, GRAM = 200, 32
-#: Bytes of group texts that one transform takes (a single group may take more).
-CHUNK = 1_500_000
+#: Bytes of group texts that one transform takes. Of a larger group it takes two windows of each class of equal hashes.
+CHUNK = 300_000
 #: Occurrences beyond which an anchor's windows are grouped by what SPLIT neighbours (and at last each alone) have in common:
 #: the same windows meet, in groups that no common passage makes large.
-HOT, HOTTEST, SPLIT = 2_000, 200_000, 42
+HOT, HOTTEST, SPLIT = 1_000, 200_000, 42
 #: Prefix lengths that are compared word by word before the expansion starts.
 DIRECT = 32
 
 
-def anchors(buf: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: hash and position of the anchor, first and last window start."""
+def anchors(buf: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Runs of windows with one anchor: hash and position of the anchor, first and last window start; and repeated spans.
+
+    Where a gram comes back within a window and the windows before it are those a period earlier, byte by byte, they
+    are repeated in the text itself. Such spans are told at once, and only their first windows need to meet others.
+    """
     n = len(buf)
     if n < length:
         z = np.empty(0, np.int64)
-        return z.astype(np.uint64), z, z, z
+        return z.astype(np.uint64), z, z, z, []
     at = np.arange(n - gram + 1)
     h = HASH.ranges(HASH.prefix(buf), at, at + gram)
     w = length - gram + 1  # grams of a window
@@ -43,29 +47,31 @@ def anchors(buf: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np
     up = np.minimum.accumulate(blocks, axis=1).ravel()
     down = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     low = np.minimum(down[: n - length + 1], up[w - 1 : w - 1 + n - length + 1])
-    # the leftmost gram with the least hash: the next position at or after the window's start that has this hash
+    # an anchor is the leftmost gram with the least hash of its window
     change = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     ends = np.concatenate([change[1:], [len(low)]])
-    out_h, out_p, out_a, out_b = [], [], [], []
-    for value, a, b in zip(low[change], change, ends, strict=True):
+    found: list[tuple[int, int, int]] = []
+    local: list[tuple[int, int]] = []
+    raw = buf.tobytes()
+    for value, a, b in zip(low[change], change.tolist(), ends.tolist(), strict=True):
         # windows a..b-1 share the least hash; equal grams within them split the run
-        hits = np.flatnonzero(h[a : b - 1 + w] == value) + a
-        if len(hits) == 1:
-            out_h.append(value)
-            out_p.append(hits[0])
-            out_a.append(a)
-            out_b.append(b - 1)
-            continue
-        s = a
-        for p in hits:
-            e = min(p, b - 1)
-            if s <= e and p >= s:
-                out_h.append(value)
-                out_p.append(p)
-                out_a.append(s)
-                out_b.append(e)
-                s = e + 1
-    return np.array(out_h, np.uint64), np.array(out_p, np.int64), np.array(out_a, np.int64), np.array(out_b, np.int64)
+        hits = (np.flatnonzero(h[a : b - 1 + w] == value) + a).tolist()
+        start, before = a, None
+        for hit in hits:
+            stop = min(hit, b - 1)
+            if start > stop:
+                break
+            period = hit - before if before is not None else 0
+            if period and start >= period and raw[start - period : stop + length - period] == raw[start : stop + length]:
+                if local and local[-1][1] >= start - period:
+                    local[-1] = (local[-1][0], stop + length)
+                else:
+                    local.append((start - period, stop + length))
+            else:
+                found.append((hit, start, stop))
+            start, before = stop + 1, hit
+    p, a, b = (np.array(c, np.int64) for c in zip(*found, strict=True))
+    return mix(h[p]), p, a, b, local  # least hashes crowd near 0: mixed, so that parts are even
 
 
 def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -148,8 +154,44 @@ def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.nda
     return [np.flatnonzero(hit[s : s + z]) for s, z in zip(begin, sizes, strict=True)]
 
 
+def repeated_in_large(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """As repeated_windows, for a group of any size: windows are classed by hash, and the transform takes two of each class."""
+    counts = np.array([len(s) - length + 1 for s in segments], np.int64)
+    hashes, i = [], 0
+    while i < len(segments):  # in slices, so that memory stays small
+        j, size = i, 0
+        while j < len(segments) and size < CHUNK:
+            size += len(segments[j])
+            j += 1
+        buf = np.frombuffer(b"".join(segments[i:j]), np.uint8)
+        begin = np.cumsum([0, *(len(s) for s in segments[i : j - 1])])
+        at = np.concatenate([b + np.arange(c) for b, c in zip(begin, counts[i:j], strict=True)])
+        hashes.append(HASH.ranges(HASH.prefix(buf), at, at + length))
+        i = j
+    h = np.concatenate(hashes)
+    order = np.argsort(h, kind="stable")
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    first = np.flatnonzero(new)
+    cls = np.empty(len(h), np.int64)
+    cls[order] = np.cumsum(new) - 1
+    several = np.flatnonzero(np.diff(np.append(first, len(h))) > 1)
+    owner, start = np.repeat(np.arange(len(segments)), counts), np.concatenate([np.arange(c) for c in counts])
+    window = lambda k: segments[owner[k]][start[k] : start[k] + length]
+    sure = np.zeros(len(first), bool)
+    step = max(1, CHUNK // (2 * length))
+    for a in range(0, len(several), step):
+        some = several[a : a + step]
+        pairs = [window(order[first[c] + q]) for c in some for q in (0, 1)]
+        found = repeated_windows(pairs, length)
+        sure[some] = [len(found[2 * q]) > 0 and len(found[2 * q + 1]) > 0 for q in range(len(some))]
+    hit = np.split(sure[cls], np.cumsum(counts)[:-1])
+    return [np.flatnonzero(x) for x in hit]
+
+
 ANCHOR = np.dtype([("tail", "<u4"), ("pos", "<u4"), ("before", "u1"), ("after", "u1"), ("owner", "<u2")])
 PLACE = np.dtype([("key", "V16"), ("name", "<u8"), ("pos", "<u4"), ("before", "u1"), ("after", "u1"), ("heat", "u1")])
+#: Heat of a place that is a repeated span inside its text: from pos to name.
+LOCAL = 255
 SPOT = np.dtype([("key", "V16"), ("start", "<u4")])
 SPAN = np.dtype([("key", "V16"), ("start", "<u4"), ("end", "<u4")])
 
@@ -193,6 +235,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
         def flush() -> pa.RecordBatch:
             h = np.concatenate([x[1] for x in held])
+            spans = [(x[0], a, b) for x in held for a, b in x[5]]
             rows = np.zeros(len(h), ANCHOR)
             rows["owner"] = np.repeat(np.arange(len(held)), [len(x[1]) for x in held])
             rows["pos"] = np.concatenate([x[2] for x in held])
@@ -207,6 +250,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                 own = own.copy()
                 own["owner"] = local
                 out.append((part, own.tobytes(), keys[used].tobytes()))
+            if spans:  # go with the rows, told apart by their keys
+                own = np.zeros(len(spans), PLACE)
+                own["key"] = np.frombuffer(b"".join(x[0] for x in spans), "V16")
+                own["pos"], own["name"], own["heat"] = [x[1] for x in spans], [x[2] for x in spans], LOCAL
+                out += [(part, rows.tobytes(), b"") for part, rows in dealt(home(own["key"], parts), own)]
             cols = list(zip(*out, strict=True))
             return arrow({"part": (cols[0], pa.int32()), "rows": (cols[1], pa.binary()), "keys": (cols[2], pa.binary())})
 
@@ -217,8 +265,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                 if key in seen or len(t) < length:
                     continue
                 seen.add(key)
-                h, p, a, b = anchors(np.frombuffer(t, np.uint8), length, gram)
-                held.append((key, h, p, a, b))
+                h, p, a, b, local = anchors(np.frombuffer(t, np.uint8), length, gram)
+                held.append((key, h, p, a, b, local))
                 total += len(h)
                 if total >= 2_000_000 or len(held) >= 60_000:
                     yield flush()
@@ -227,9 +275,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             yield flush()
 
     def find_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        got: dict[int, list[np.ndarray]] = {}
+
+        def out(rows: np.ndarray) -> pa.RecordBatch:
+            cols = list(zip(*((dest, own.tobytes()) for dest, own in dealt(home(rows["key"], parts), rows)), strict=True))
+            return arrow({"part": (cols[0], pa.int32()), "kind": ([0] * len(cols[0]), pa.int32()), "rows": (cols[1], pa.binary()), "key": ([None] * len(cols[0]), pa.binary()), "text": ([None] * len(cols[0]), pa.string())})
+
         for batch in batches:
             for p, r, k in zip(*(batch.column(c).to_pylist() for c in ("part", "rows", "keys")), strict=True):
+                if not k:
+                    yield out(np.frombuffer(r, PLACE))
+                    continue
                 rows = np.frombuffer(r, ANCHOR)
                 keep = np.zeros(len(rows), PLACE)
                 for c in ("pos", "before", "after"):
@@ -251,8 +307,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             rows["heat"] = np.where(count > HOTTEST, 2, np.where(count > HOT, 1, 0))
             rows = rows[count > 1]
             if len(rows):
-                cols = list(zip(*((dest, own.tobytes()) for dest, own in dealt(home(rows["key"], parts), rows)), strict=True))
-                yield arrow({"part": (cols[0], pa.int32()), "kind": ([0] * len(cols[0]), pa.int32()), "rows": (cols[1], pa.binary()), "key": ([None] * len(cols[0]), pa.binary()), "text": ([None] * len(cols[0]), pa.string())})
+                yield out(rows)
 
     def deal_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -284,7 +339,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                     pair = np.frombuffer(every["key"].tobytes(), "<u8").reshape(-1, 2)
                     every = every[np.lexsort((pair[:, 1], pair[:, 0]))]
                     cut = np.flatnonzero(np.concatenate([[True], every["key"][1:] != every["key"][:-1]])) if len(every) else np.empty(0, np.int64)
-                    table = {every["key"][a].tobytes(): every[a:b] for a, b in zip(cut, [*cut[1:], len(every)], strict=True)}
+                    table = {every["key"][a].tobytes(): every[a:b] for a, b in zip(cut, [*cut[1:], len(every)], strict=False)}  # none without rows
                 if key not in seen:
                     seen.add(key)
                     yield key, t, table.get(key, every[:0])
@@ -292,6 +347,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments: dict[tuple[int, int, bytes], list[bytes]] = {}
         for key, t, places in by_key(batches, PLACE):
+            spans = np.zeros(int((places["heat"] == LOCAL).sum()), SPAN)
+            if len(spans):
+                own = places[places["heat"] == LOCAL]
+                spans["key"], spans["start"], spans["end"] = own["key"], own["pos"], own["name"]
+                segments.setdefault((int(home(spans["key"][:1], parts)[0]), 0, b""), []).append(spans.tobytes())
+                places = places[places["heat"] != LOCAL]
             if not len(places):
                 continue
             lo, hi = places["pos"] - places["before"].astype(np.int64), places["pos"] - places["after"].astype(np.int64)
@@ -313,10 +374,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[int, dict[bytes, list[bytes]]] = {}
+        out: list[np.ndarray] = []
         for batch in batches:
             for name, seg, spots in zip(*(batch.column(c).to_pylist() for c in ("name", "segment", "spots")), strict=True):
+                if not seg:
+                    out.append(np.frombuffer(spots, SPAN))
+                    continue
                 groups.setdefault(name, {}).setdefault(seg, []).append(spots)
-        out: list[np.ndarray] = []
 
         def emit(seg: bytes, spots: list[bytes], starts: np.ndarray) -> None:
             if not len(starts):
@@ -341,8 +405,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         chunk: list[tuple[bytes, list[bytes]]] = []
         size = 0
 
-        def transform() -> None:
-            for (seg, spots), starts in zip(chunk, repeated_windows([x for x, _ in chunk], length), strict=True):
+        def transform(chunk: list[tuple[bytes, list[bytes]]], find: Callable[[list[bytes], int], list[np.ndarray]] = repeated_windows) -> None:
+            for (seg, spots), starts in zip(chunk, find([x for x, _ in chunk], length), strict=True):
                 whole = sum(map(len, spots)) > SPOT.itemsize  # an equal segment elsewhere repeats all its windows
                 emit(seg, spots, np.arange(len(seg) - length + 1) if whole else starts)
 
@@ -353,14 +417,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                 if sum(map(len, spots)) > SPOT.itemsize:
                     emit(seg, spots, np.arange(len(seg) - length + 1))
                 continue
+            if (own := sum(map(len, group))) > CHUNK:
+                transform(list(group.items()), repeated_in_large)
+                yield from flush()
+                continue
             chunk += group.items()
-            size += sum(map(len, group))
+            size += own
             if size >= CHUNK:
-                transform()
+                transform(chunk)
                 chunk, size = [], 0
                 yield from flush()
         if chunk:
-            transform()
+            transform(chunk)
         yield from flush()
 
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

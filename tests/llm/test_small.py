@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from pixrel.llm import fingerprint, jaccard, pii, rules, token_files
+from pixrel.llm import fingerprint, jaccard, pii, rules, suffix, token_files
 
 
 def brute_classes(sets, percent=75):
@@ -131,3 +131,41 @@ def test_window_entropy_and_splicing():
         raw = a.raw[:cut] + b.raw[:take]
         want = fingerprint.Text(raw).entropy
         assert np.array_equal(fingerprint.spliced_entropy(a, cut, b, take, raw), want)
+
+
+def test_repeated_windows_match_brute_force():
+    r = random.Random(1)
+    for _ in range(150):
+        length = r.choice([5, 40, 60])
+        base = bytes(r.choice(b"abc ") for _ in range(200))
+        segments = []
+        for _ in range(r.randint(1, 12)):
+            a = r.randint(0, 100)
+            s = bytearray(base[a : a + length + r.randint(0, 60)])
+            for _ in range(r.randint(0, 2)):
+                s[r.randrange(len(s))] = r.choice(b"abcxyz")
+            segments.append(bytes(s))
+        count = {}
+        for s in segments:
+            for i in range(len(s) - length + 1):
+                count[s[i : i + length]] = count.get(s[i : i + length], 0) + 1
+        want = [[i for i in range(len(s) - length + 1) if count[s[i : i + length]] > 1] for s in segments]
+        assert [x.tolist() for x in suffix.repeated_windows(segments, length)] == want
+        assert [x.tolist() for x in suffix.repeated_in_large(segments, length)] == want
+
+
+def test_anchors_cover_every_window_or_tell_it_repeated():
+    r = random.Random(2)
+    for _ in range(60):
+        n = r.randint(200, 900)
+        text = bytes(r.choice(b"ab") if r.random() < 0.5 else r.choice(b"abcdefgh") for _ in range(n))
+        if r.random() < 0.4:
+            text = text[:37] * (n // 37)
+        _, _, first, last, local = suffix.anchors(np.frombuffer(text, np.uint8))
+        met = {k for a, b in zip(first, last, strict=True) for k in range(a, b + 1)}
+        windows = [text[k : k + 200] for k in range(len(text) - 199)]
+        assert {windows[k] for k in met} == set(windows)  # each meets others once at least
+        again = {k for k, x in enumerate(windows) if windows.count(x) > 1}
+        covered = {i for k in again for i in range(k, k + 200)}
+        assert {i for a, b in local for i in range(a, b)} <= covered
+        assert set(range(len(windows))) - met <= {k for a, b in local for k in range(a, b - 199)}
