@@ -14,12 +14,16 @@ from pixrel.llm.common import SPACE, gram_hashes, map_arrow, materialize, texts,
 
 #: Contract limits of the base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: Sketch buckets hold values to 1/32 of their size. A fence lies this many spreads (90th less 50th percentile) beyond the median.
+#: Sketch buckets hold values to 1/32 of their size. A fence lies this many spreads (50th less 10th percentile, which junk at the upper end cannot widen) beyond the median.
 BUCKET_BITS, SPREADS = 5, 8
 #: Weight of the language's fence, in documents, against the fence of a language and source.
 PRIOR_DOCS = 200
 #: Metrics in integer shares, and the least room between median and fence, so that uniform groups keep ordinary documents.
 METRICS = {"symbol_rate": 60, "dup_line_rate": 250, "repeat_rate": 100, "word_length": 400}
+#: Where a metric ends, or the base rule takes over: a fence goes half the way from the median at most, so that it always rejects something.
+BOUNDS = {"symbol_rate": 1000, "dup_line_rate": 1000, "repeat_rate": 10 * MAX_REPEAT_PERCENT}
+#: The base rule's failures.
+FAILED = f"(n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)"
 SYMBOLS = b"#*$%&|<>"
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -73,19 +77,21 @@ def bucket(value: Column) -> Column:
 
 
 def fences(m: DataFrame, group: list[str]) -> DataFrame:
-    """Upper fence of each metric for each group: quantiles of merged bucket counts.
+    """Upper fence of each metric for each group: quantiles of merged bucket counts of the documents that pass the base rule.
 
     The sketch of a group is its counts by bucket. Counts of parts add up, so they merge in any order to the same
     sketch; Spark adds them before the shuffle, and a hot group is a few hundred rows like any other.
     """
-    long = m.filter(F.col("n_words") >= MIN_WORDS).select(*group, F.explode(F.array(*(F.struct(F.lit(x).alias("metric"), F.col(x).alias("value")) for x in METRICS))).alias("__m")).select(*group, "__m.metric", bucket(F.col("__m.value")).alias("__b"))
+    long = m.filter(f"not {FAILED}").select(*group, F.explode(F.array(*(F.struct(F.lit(x).alias("metric"), F.col(x).alias("value")) for x in METRICS))).alias("__m")).select(*group, "__m.metric", bucket(F.col("__m.value")).alias("__b"))
     counts = long.groupBy(*group, "metric", "__b").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*group, "metric")
     counts = counts.withColumn("__up", F.sum("__n").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(w))
     at = lambda percent: F.min(F.when(F.col("__up") * 100 >= F.col("__all") * percent, F.col("__b")))
-    q = counts.groupBy(*group, "metric").agg(at(50).alias("__q50"), at(90).alias("__q90"), F.first("__all").alias("__all"))
+    q = counts.groupBy(*group, "metric").agg(at(10).alias("__q10"), at(50).alias("__q50"), F.first("__all").alias("__all"))
     least = reduce(lambda a, x: a.when(F.col("metric") == x, METRICS[x]), METRICS, F.when(F.lit(False), 0))
-    return q.select(*group, "metric", "__all", (F.col("__q50") + F.greatest(SPREADS * (F.col("__q90") - F.col("__q50")), least)).alias("__fence"))
+    bound = reduce(lambda a, x: a.when(F.col("metric") == x, BOUNDS[x]), BOUNDS, F.when(F.lit(False), 0))
+    room = F.least(F.greatest(SPREADS * (F.col("__q50") - F.col("__q10")), least), F.floor((bound - F.col("__q50")) / 2))  # least() skips the null of no bound
+    return q.select(*group, "metric", "__all", (F.col("__q50") + room).alias("__fence"))
 
 
 def judge(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -101,6 +107,6 @@ def judge(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str
     both = own.join(whole, ["lang", "metric"]).select("lang", "source", "metric", F.expr(f"(__all * __fence + {PRIOR_DOCS} * __wide) div (__all + {PRIOR_DOCS})").alias("__limit"))
     limits = both.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == x, F.col("__limit"))).alias(f"__{x}") for x in METRICS))
     j = m.join(limits, ["lang", "source"], "left")
-    failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
+    failed = F.expr(FAILED)
     reason = reduce(lambda a, x: a.when(F.col(x) > F.col(f"__{x}"), F.lit(x)), METRICS, F.when(failed, F.lit("base")))
     return j.select("doc_id", *NAMES, failed.alias("base_failed"), reason.isNull().alias("kept"), reason.alias("reason"))

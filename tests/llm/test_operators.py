@@ -111,6 +111,20 @@ def test_rules_base_and_clean_documents(docs):
     assert len(rules.judge(docs).collect()) == len(ROWS)
 
 
+@pytest.mark.parametrize("junk", [15, 30])
+def test_rules_junk_does_not_raise_its_own_limit(spark, junk):
+    words = lambda i, n: [f"w{i}x{k}" for k in range(n)]
+    clean = [(i, " ".join(words(i, 60))) for i in range(100 - junk)]
+    symbols = [(200 + i, " ".join(w + "###" for w in words(200 + i, 60))) for i in range(junk)]
+    phrase = "one two three four five "
+    failing = [(400 + i, phrase * 12) for i in range(junk)]
+    near = [(600, phrase * 2 + " ".join(words(600, 50)))]  # 10 of 60 words: 166 per mille, which the base rule lets pass
+    d = spark.createDataFrame([(*x, "en", "a") for x in [*clean, *symbols, *failing, *near]], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["reason"] for r in rules.judge(d).collect()}
+    assert all(got[i] is None for i, _ in clean) and all(got[i] == "symbol_rate" for i, _ in symbols)
+    assert all(got[i] == "base" for i, _ in failing) and got[600] == "repeat_rate"
+
+
 def test_classifier_learns_emphasis(spark):
     good = [(i, " ".join(f"Word{(i * 7 + k) % 50} and" for k in range(60)), 1) for i in range(300)]
     bad = [(300 + i, " ".join(f"WORD{(i * 3 + k) % 50}!!" for k in range(60)), 0) for i in range(60)]
