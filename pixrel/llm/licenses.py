@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,61 +21,118 @@ TEMPLATES = {
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    "LGPL-2.1": ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",),
+    "LGPL-3.0": ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",),
     "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
 }
-#: Least cosine of a line to a template, and least share of a text's words in licence lines that makes it a licence file.
+#: Whole licences, for licence files and long headers.
+FULL = {p.stem: (p.read_text(),) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+#: An identifier that a file states outright, without the suffixes that leave the licence the same.
+SPDX = re.compile(rb"SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.+-]+)")
+#: Least cosine of a passage to a template, and least share of a text's words in licence lines that makes it a licence file.
 COSINE, FILE_PERCENT = 0.75, 25
 
-_TRIM = b".,;:()\"'"
+#: Punctuation, and the marks that comments begin, continue and end with.
+_TRIM = b".,;:()\"'#*/<>!-%`"
+#: Windows of a long template are scored at so many places along its length.
+STEPS = 16
 
 
 def terms(line: bytes) -> list[bytes]:
-    """Lower-case words without punctuation around them."""
+    """Lower-case words without punctuation and comment marks around them."""
     return [w for x in line.translate(LOWER).split() if (w := x.strip(_TRIM))]
 
 
-class Matcher:
-    """Cosine of lines to templates; terms outside the templates weigh as the rarest."""
+def spdx(text: bytes, names: set[str]) -> str:
+    """The first known licence that the text's SPDX lines name; empty without one."""
+    for found in SPDX.findall(text):
+        name = re.sub(r"(-only|-or-later|\+)$", "", found.decode())
+        if name in names:
+            return name
+    return ""
+
 
-    def __init__(self, templates: dict[str, tuple[str, ...]], frequency: dict[bytes, int], n_docs: int) -> None:
-        self.idf = {w: math.log((1 + n_docs) / (1 + frequency.get(w, 0))) + 1 for x in templates.values() for t in x for w in terms(t.encode())}
+class Matcher:
+    """Cosine of passages to templates; terms outside the templates weigh as the rarest."""
+
+    def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], n_docs: int) -> None:
+        counts = [Counter(terms(t.encode())) for _, t in templates]
+        self.names = [name for name, _ in templates]
+        self.known = set(self.names)
+        self.length = [sum(c.values()) for c in counts]
+        self.idf = {w: math.log((1 + n_docs) / (1 + frequency.get(w, 0))) + 1 for c in counts for w in c}
         self.rare = math.log(1 + n_docs) + 1
-        self.names = [(name, k) for name, x in sorted(templates.items()) for k in range(len(x))]
+        self.vocabulary = frozenset(self.idf)
+        self.weights: list[dict[bytes, float]] = []
         self.postings: dict[bytes, list[tuple[int, float]]] = {}
-        for i, (name, k) in enumerate(self.names):
-            weights = {w: n * self.idf[w] for w, n in Counter(terms(templates[name][k].encode())).items()}
-            norm = math.sqrt(sum(v * v for v in weights.values()))
-            for w, v in weights.items():
-                self.postings.setdefault(w, []).append((i, v / norm))
-
-    def best(self, words: list[bytes]) -> tuple[float, str]:
-        """Highest cosine and its licence, the first by name of equals; 0 without shared terms."""
-        dots: dict[int, float] = {}
-        norm = 0.0
-        for w, n in Counter(words).items():
-            v = n * self.idf.get(w, self.rare)
-            norm += v * v
-            for i, t in self.postings.get(w, ()):
-                dots[i] = dots.get(i, 0.0) + v * t
-        if not dots:
-            return 0.0, ""
-        top = max(dots, key=lambda i: (dots[i], -i))
-        return dots[top] / math.sqrt(norm), self.names[top][0]
+        for i, c in enumerate(counts):
+            norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in c.items()))
+            self.weights.append({w: n * self.idf[w] / norm for w, n in c.items()})
+            for w, v in self.weights[i].items():
+                self.postings.setdefault(w, []).append((i, v * v))
+
+    def possible(self, words: list[bytes]) -> list[int]:
+        """Templates that some passage of these words can reach: a cosine is at most the length of the template's part that they share."""
+        share: dict[int, float] = {}
+        for w in self.vocabulary.intersection(words):
+            for i, v in self.postings[w]:
+                share[i] = share.get(i, 0.0) + v
+        return sorted(i for i, v in share.items() if v >= COSINE * COSINE - 1e-9)
+
+    def passages(self, lines: list[list[bytes]]) -> tuple[float, str, int]:
+        """Highest cosine of a passage, its licence (the first template of equals) and the words that passages at COSINE or more cover.
+
+        Passages are the lines, and the windows of each template's length over all words, lines and comments aside; a
+        text shorter than a template is one window.
+        """
+        words = [w for x in lines for w in x]
+        open_ = self.possible(words)
+        if not open_:
+            return 0.0, "", 0
+        ids: dict[bytes, int] = {}
+        at = np.array([ids.setdefault(w, len(ids)) for w in words])
+        idf = np.array([self.idf.get(w, self.rare) for w in ids])
+        ends = np.cumsum([len(x) for x in lines])
+        spans = [(int(e) - len(x), int(e)) for e, x in zip(ends, lines, strict=True) if x]
+        square = np.concatenate([[0.0], np.cumsum((idf * idf)[at])])
+        covered = np.zeros(len(words) + 1, np.int64)
+        best, name = 0.0, ""
+        for i in open_:
+            weight = np.array([self.weights[i].get(w, 0.0) for w in ids]) * idf
+            dot = np.concatenate([[0.0], np.cumsum(weight[at])])
+            n = min(self.length[i], len(words))
+            step = max(1, n // (2 * STEPS)) if n > 4 * STEPS else 1
+            starts = np.unique(np.append(np.arange(0, len(words) - n + 1, step), len(words) - n))
+            first = np.concatenate([starts, [a for a, _ in spans]]).astype(np.int64)
+            last = np.concatenate([starts + n, [b for _, b in spans]]).astype(np.int64)
+            # repeated words only lengthen a passage, so this cosine is the highest that it may have
+            may = (dot[last] - dot[first]) / np.sqrt(square[last] - square[first]) >= COSINE - 1e-9
+            for a, b in zip(first[may].tolist(), last[may].tolist(), strict=True):
+                held, times = np.unique(at[a:b], return_counts=True)
+                score = min(1.0, float((times * weight[held]).sum() / math.sqrt(((times * idf[held]) ** 2).sum())))
+                if score >= COSINE:
+                    covered[a] += 1
+                    covered[b] -= 1
+                    if score > best + 1e-12:
+                        best, name = score, self.names[i]
+        return best, name, int((np.cumsum(covered) > 0).sum())
 
 
 def scan(docs: DataFrame, path: Column, text: str = "text", id_col: str = "doc_id", templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """doc_id, path, license, score, how ('header', 'inherited' or 'none'), from_dir.
 
-    Each line of a text is held against the templates; the best at COSINE or more is the text's own licence. Texts
-    that consist of licence lines by FILE_PERCENT of their words are licence files, and speak for their directory
+    An SPDX line that names a known licence decides, with score 1. Otherwise lines and windows of a text are held
+    against the templates, notices as well as whole licences; the best at COSINE or more is the text's own licence.
+    Texts that consist of licence passages by FILE_PERCENT of their words are licence files, and speak for their directory
     (the most frequent licence of its files, then the first by name). Texts without a licence of their own inherit
     that of the nearest ancestor directory that has one. Null texts have no line; null paths lie in no directory.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.col(text).alias("text"))
-    vocabulary = {w for x in templates.values() for t in x for w in terms(t.encode())}
+    flat = [(name, t) for x in (templates, FULL) for name, y in sorted(x.items()) if name in templates for t in y]
+    vocabulary = frozenset(w for _, t in flat for w in terms(t.encode()))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[bytes] = Counter()
@@ -84,25 +144,19 @@ def scan(docs: DataFrame, path: Column, text: str = "text", id_col: str = "doc_i
 
     # a row for each term of the templates at most
     found = {bytes(r[0]): r[1] for r in map_arrow(d.select("text"), frequencies, "term binary, n long").groupBy("term").agg(F.sum("n")).collect()}
-    matcher = Matcher(templates, found, found.get(b"", 0))
+    matcher = Matcher(flat, found, found.get(b"", 0))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strong = {w for w in vocabulary if matcher.idf[w] > 3}  # a line at COSINE shares one of these or is made of common ones
         for batch in batches:
             out = []
             for t in texts(batch):
-                best, covered, total = (0.0, ""), 0, 0
-                for line in t.split(b"\n"):
-                    words = terms(line)
-                    total += len(words)
-                    if strong.isdisjoint(words) and len(vocabulary.intersection(words)) < 2:
-                        continue
-                    score, name = matcher.best(words)
-                    if score >= COSINE:
-                        covered += len(words)
-                        if score > best[0]:
-                            best = (score, name)
-                out.append((best[1] or None, best[0], bool(best[1]) and covered * 100 >= FILE_PERCENT * total))
+                lines = [terms(x) for x in t.split(b"\n")]
+                total = sum(map(len, lines))
+                score, name, covered = matcher.passages(lines)
+                if stated := spdx(t, matcher.known):
+                    covered = max(covered, 2)  # the identifier's line
+                    score, name = 1.0, stated
+                out.append((name or None, score, bool(name) and covered * 100 >= FILE_PERCENT * total))
             cols = list(zip(*out, strict=True)) if out else [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("path"), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], names=["doc_id", "path", "own", "score", "is_file"])
 

@@ -237,6 +237,24 @@ def test_licenses_inherit_from_the_nearest_directory(spark):
     assert got == {1: ("MIT", "header"), 2: ("CC-BY-NC-4.0", "inherited"), 3: ("CC-BY-NC-4.0", "header"), 4: ("CC-BY-NC-4.0", "inherited"), 5: (None, "none"), 6: ("Apache-2.0", "header"), 7: (None, "none")}
 
 
+def test_licenses_in_ordinary_headers_and_whole_files(spark):
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\nimport os\n"
+    cases = {
+        "MIT": ["Copyright 2020 Jane Doe. Released under the MIT License.", "# SPDX-License-Identifier: MIT", "// Released under the MIT License.", licenses.FULL["MIT"][0].replace("<year> <copyright holders>", "2020 Jane Doe"), "code words here\n" * 40 + licenses.FULL["MIT"][0]],
+        "Apache-2.0": ["Copyright (c) 2020 Jane Doe. Licensed under the Apache License, Version 2.0.", licenses.FULL["Apache-2.0"][0], "/* SPDX-License-Identifier: (Apache-2.0 OR MIT) */"],
+        "GPL-3.0": [gpl, licenses.FULL["GPL-3.0"][0]], "GPL-2.0": [gpl.replace("version 3", "version 2"), licenses.FULL["GPL-2.0"][0], "// SPDX-License-Identifier: GPL-2.0-or-later"],
+        "LGPL-3.0": [gpl.replace("GNU General", "GNU Lesser General")], "MPL-2.0": [licenses.FULL["MPL-2.0"][0]], "BSD-3-Clause": [licenses.FULL["BSD-3-Clause"][0]],
+    }
+    rows = [(f"{name}{k}", f"{name}{k}/LICENSE", t, name) for name, x in cases.items() for k, t in enumerate(x)]
+    files = {f"{name}{k}" for name, x in cases.items() for k, t in enumerate(x) if t in {y[0] for y in licenses.FULL.values()}} | {"MIT3"}
+    plain = [(f"plain{k}", None, t, None) for k, t in enumerate(["the terms of the year and the license of the game", "Released under the sea, the new version of the song", "SPDX-License-Identifier: Unknown-9"])]
+    below = [(f"below {x}", f"{x}/src/a.py", "code", None) for x in files]
+    d = spark.createDataFrame([*rows, *plain, *below], "doc_id string, path string, text string, want string")
+    got = {r["doc_id"]: r for r in licenses.scan(d, F.col("path")).collect()}
+    assert {x[0]: got[x[0]]["license"] for x in [*rows, *plain]} == {x[0]: x[3] for x in [*rows, *plain]}
+    assert all(got[f"below {x}"]["how"] == "inherited" and got[f"below {x}"]["license"] == got[x]["license"] for x in files)
+
+
 def test_pipeline_stages_keep_the_columns(spark, docs, tmp_path):
     spark.createDataFrame([(r[0], 1, 0) for r in ROWS if r[0]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     d = docs
