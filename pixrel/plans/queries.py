@@ -80,6 +80,12 @@ def raster_fixtures(spark, d):
     return rasters.fixtures(spark).filter(F.col("image_id").isin(1, 4, 6))
 
 
+@query()
+def raster_fixtures_all(spark, d):
+    """All seven made images; raster_fixtures and its SQL keep three of them."""
+    return rasters.fixtures(spark)
+
+
 @query("""with u as (select c_name || case c_custkey % 5 when 0 then '.png' when 1 then '.JPG' when 2 then '.webp' when 3 then '.gif' else '.png' end as name, case c_custkey % 5 when 0 then 'image/png' when 1 then 'image/jpeg' when 2 then 'image/webp' when 3 then 'image/gif' else 'image/jpeg' end mime,
 case c_custkey % 5 when 0 then 'iVBORw0KGgoAAAAN' when 1 then '/9j/4AAQSkZJRgAB' when 2 then 'UklGRgAAAABXRUJQ' when 3 then 'R0lGODlhAQAB' else 'iVBORw0KGgo=!' end body, c_custkey % 5 k from customer)
 select name, mime, case k when 0 then 'png' when 1 then 'jpeg' when 2 then 'webp' when 3 then 'gif' else 'png' end ext, case k when 3 then 9 when 4 then 0 else 12 end::int bytes, k <> 4 canonical, k in (0, 1, 2) signature_ok, k in (0, 1, 2) accepted from u""")
@@ -469,6 +475,12 @@ def parent_chain(spark, d):
     return tree.parent_chains(heap_tree(spark, d)).filter(F.col("node").isin("7", "100", "1999"))
 
 
+@query(f"{HEAP}, up as (select image_id, node, parent ancestor, 1 distance from t where parent is not null union all select up.image_id, up.node, t.parent, up.distance + 1 from up join t on t.node = up.ancestor where t.parent is not null) select image_id, node, ancestor, distance from up")
+def parent_chain_all(spark, d):
+    """The chains of every node; parent_chain and its SQL keep three nodes."""
+    return tree.parent_chains(heap_tree(spark, d))
+
+
 @query(f"{HEAP}, up as (select image_id, node, parent ancestor, 1 distance from t where parent is not null union all select up.image_id, up.node, t.parent, up.distance + 1 from up join t on t.node = up.ancestor where t.parent is not null) select image_id, ancestor node, count(*) descendants, max(distance) height from up group by image_id, ancestor")
 def subtree_sizes(spark, d):
     return tree.subtree_sizes(heap_tree(spark, d))

@@ -57,7 +57,7 @@ def fixtures(spark: SparkSession, width: int = 128, height: int = 96) -> DataFra
     images = [
         F.when((x >= 12) & (x < 48) & (y >= 14) & (y < 50), rgb(220, 60, 50)).when(disc(88, 36, 20), rgb(50, 110, 220)).when((y >= 60) & (x + y > 120) & (x - y < 10), rgb(60, 170, 90)).otherwise(rgb(240, 240, 235)),
         rgb(F.expr(f"cast(x * 255 div {width - 1} as int)"), F.expr(f"cast(y * 255 div {height - 1} as int)"), F.expr(f"cast((x + y) * 255 div {width + height - 2} as int)")),
-        F.when(y < 40, rgb(120, 190, 240)).when(disc(100, 20, 12), rgb(250, 220, 80)).when(y < 66, rgb(90, 160, 80)).otherwise(rgb(140, 100, 60)),
+        F.when(disc(100, 20, 12), rgb(250, 220, 80)).when(y < 40, rgb(120, 190, 240)).when(y < 66, rgb(90, 160, 80)).otherwise(rgb(140, 100, 60)),
         F.when(disc(64, 48, 30) & ~disc(64, 48, 18), rgb(20, 40, 120)).when(disc(64, 48, 10), rgb(230, 90, 30)).otherwise(rgb(255, 255, 255)),
         rgb(F.expr("cast((x div 8 * 37 + y div 8 * 11) % 256 as int)"), F.expr("cast((x div 8 * 17 + y div 8 * 53) % 256 as int)"), F.expr("cast((x div 8 * 71 + y div 8 * 29) % 256 as int)")),
         rgb(*(F.pmod(F.xxhash64(x, y, F.lit(k)), F.lit(256)).cast("int") for k in range(3))),

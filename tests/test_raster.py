@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pixrel import config
 from pixrel.operators import jobs, recon, regions, scales, segmentation, stencil, tree
+from pixrel.plans import queries
 from pixrel.plans.shared import saved
 from pixrel.sources import rasters
 
@@ -143,3 +144,36 @@ def test_budgets_and_receipts(spark):
     j = spark.createDataFrame([(1, 0, "hierarchy", 130_000, 5_000), (2, 0, "features", 130_000, 5_000), (3, 2, "features", 1, 0)], "job long, variants int, stage string, elapsed long, heartbeat_age long")
     got = {r["job"]: (r["allowance"], r["over"]) for r in jobs.budgets(j).collect()}
     assert got == {1: (150_000, False), 2: (120_000, True), 3: (240_000, False)}
+
+
+def xxh64_ints(values):
+    """Spark's xxhash64 of ints: each hash is the seed of the next."""
+    m, rot = 2**64 - 1, lambda v, k: ((v << k) | (v >> (64 - k))) & (2**64 - 1)
+    p1, p2, p3 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+    h = 42
+    for v in values:
+        h = (h + 0x27D4EB2F165667C5 + 4) & m
+        h ^= v * p1 & m
+        h = (rot(h, 23) * p2 + p3) & m
+        h = (h ^ (h >> 33)) * p2 & m
+        h = (h ^ (h >> 29)) * p3 & m
+        h ^= h >> 32
+    return h
+
+
+def test_all_made_images_are_returned(spark):
+    got = queries.QUERIES["raster_fixtures_all"](spark, "")
+    assert {r["image_id"]: r["count"] for r in got.groupBy("image_id").count().collect()} == dict.fromkeys(range(7), 128 * 96)
+    texture = {(r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in got.filter("image_id = 5").collect()}
+    assert texture == {(y, x): tuple(xxh64_ints((x, y, k)) % 256 for k in range(3)) for y in range(96) for x in range(128)}
+    at = {(r["image_id"], r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in got.filter("image_id in (0, 2, 3)").collect()}
+    assert at[0, 20, 20] == (220, 60, 50) and at[0, 36, 88] == (50, 110, 220) and at[0, 0, 0] == (240, 240, 235)
+    assert at[2, 0, 0] == (120, 190, 240) and at[2, 20, 100] == (250, 220, 80) and at[2, 95, 0] == (140, 100, 60)
+    assert at[3, 48, 64] == (230, 90, 30) and at[3, 48, 40] == (20, 40, 120) and at[3, 0, 0] == (255, 255, 255)
+
+
+def test_every_node_has_its_chain(spark, tmp_path):
+    spark.range(40).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(tuple(r) for r in queries.QUERIES["parent_chain_all"](spark, str(tmp_path)).collect())
+    want = [(0, str(k), str(k >> n), n) for k in range(1, 41) for n in range(1, k.bit_length())]
+    assert got == sorted(want)
