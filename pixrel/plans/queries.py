@@ -313,12 +313,53 @@ def overlap_matrix(spark, d):
     return m.select("image_id", "source", F.round("coverageSum", 6).alias("coveragesum"), (F.round("uncoveredFraction", 6) + 0.0).alias("uncovered"), F.array_join(F.transform("entries", lambda e: e["target"].cast("string")), ",").alias("targets"))
 
 
+def side(p: DataFrame) -> DataFrame:
+    """Geometry and mean colour of each region."""
+    return regions.geometry(p).join(p.groupBy(*regions.KEY).agg(*(F.avg(n).alias(n) for n in ("lab_l", "lab_a", "lab_b"))), regions.KEY)
+
+
 def scale_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     f, c, pairs = lifted(spark, d)
-    side = lambda p: regions.geometry(p).join(p.groupBy(*regions.KEY).agg(*(F.avg(n).alias(n) for n in ("lab_l", "lab_a", "lab_b"))), regions.KEY)
     return side(f), side(c), pairs
 
 
+def levels(spark: SparkSession, d: str, run: Callable[[DataFrame, DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
+    """run(fine, coarse, pairs, factor) of the native regions and each coarse level of scaleLevels, with factor as a key.
+
+    A level has a share of the native segments by its pixels, 8 at least.
+    """
+    p = pixels(spark, d)
+    f, out = saved(labelled(stencil.base_fields(p))), None
+    for factor in (k for k in DEFAULTS["scaleLevels"] if k > 1):
+        w, h = max(2, W // factor), max(2, H // factor)
+        c = saved(regions.grid_labels(stencil.base_fields(rasters.downscale(p, factor, W, H)), w, h, max(8, TARGET // (factor * factor))))
+        one = run(f, c, scales.lifted_pairs(f, c, W, H, w, h), factor)
+        one = one.select(F.lit(factor).alias("factor"), *one.columns)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def scale_overlap_levels(spark, d):
+    """scale_overlap, whose SQL states factor 2, at every level."""
+    return levels(spark, d, lambda f, c, pairs, k: scales.overlap_links(pairs, DEFAULTS["crossScaleOverlapThreshold"]))
+
+
+@query()
+def overlap_matrix_levels(spark, d):
+    return levels(spark, d, lambda f, c, pairs, k: scales.overlap_matrix(scales.overlap_links(pairs, DEFAULTS["crossScaleOverlapThreshold"])))
+
+
+@query()
+def match_cost_levels(spark, d):
+    return levels(spark, d, lambda f, c, pairs, k: scales.match_costs(pairs, side(f), side(c), k, DIAGONAL))
+
+
+@query()
+def nearest_parent_levels(spark, d):
+    return levels(spark, d, lambda f, c, pairs, k: scales.nearest_parent(side(f), side(c), k))
+
+
 SIDES = f"""{O.COARSE}, dn as (select image_id, y // 2 y, x // 2 x, floor((2 * sum(r) + 4) / 8.0)::int r, floor((2 * sum(g) + 4) / 8.0)::int g, floor((2 * sum(b) + 4) / 8.0)::int b from p group by image_id, y // 2, x // 2),
 fs as (select image_id, label, count(*) area, avg(x) cx, avg(y) cy from l group by image_id, label), cs as (select image_id, label, count(*) area, avg(x) cx, avg(y) cy from lc group by image_id, label)"""
 
@@ -338,13 +379,12 @@ def nearest_parent(spark, d):
 
 @query()
 def hungarian_match(spark, d):
-    f, c, pairs = scale_sides(spark, d)
-    return scales.match_scales(scales.match_costs(pairs, f, c, 2, DIAGONAL))
+    return levels(spark, d, lambda f, c, pairs, k: scales.match_scales(scales.match_costs(pairs, side(f), side(c), k, DIAGONAL)))
 
 
 @query()
 def correspondence_summary(spark, d):
-    return scales.correspondence_summary(hungarian_match(spark, d))
+    return scales.correspondence_summary(hungarian_match(spark, d), ["factor", "image_id"])
 
 
 # --- reconstruction ------------------------------------------------------------------------------------------------

@@ -177,3 +177,34 @@ def test_every_node_has_its_chain(spark, tmp_path):
     got = sorted(tuple(r) for r in queries.QUERIES["parent_chain_all"](spark, str(tmp_path)).collect())
     want = [(0, str(k), str(k >> n), n) for k in range(1, 41) for n in range(1, k.bit_length())]
     assert got == sorted(want)
+
+
+def test_scale_queries_cover_every_level(spark, tmp_path):
+    r = random.Random(5)
+    spark.createDataFrame([(k, [r.uniform(-1, 1) for _ in range(64)]) for k in range(50)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    cells = lambda w, h, n: {(y, x): min(y * rows // h, rows - 1) * cols + min(x * cols // w, cols - 1) + 1 for rows in [max(1, round((n * h / w) ** 0.5))] for cols in [max(1, -(-n // rows))] for y in range(h) for x in range(w)}
+    fine, want = cells(64, 50, 160), {}
+    for factor in (2, 4, 8):
+        w, h = 64 // factor, 50 // factor
+        coarse = cells(w, h, max(8, 160 // factor**2))
+        pairs = [(v, coarse[y * h // 50, x * w // 64]) for (y, x), v in fine.items()]
+        for a, b in set(pairs):
+            share = pairs.count((a, b)) / sum(v == a for v, _ in pairs)
+            if share >= 0.2:
+                want[factor, 0, a, b] = round(share, 8)
+    got = run("scale_overlap_levels")
+    assert {(x["factor"], x["image_id"], x["source"], x["target"]): x["fineCoverage"] for x in got} == want
+    two = {(x["source"], x["target"]): x["finecoverage"] for x in run("scale_overlap")}
+    assert {k[2:]: v for k, v in want.items() if k[0] == 2} == two
+    costs, matched = {}, set()
+    for x in run("match_cost_levels"):
+        costs.setdefault(x["factor"], {})[x["source"], x["target"]] = x["cost"]
+    assert set(costs) == {2, 4, 8}
+    for factor, c in costs.items():
+        table = np.array([[c[i, j] for j in sorted({t for _, t in c})] for i in sorted({t for t, _ in c})])
+        matched |= {(factor, i + 1, j + 1) for i, j in scales.assignment(table) if table[i, j] <= 0.72}
+    assert {(x["factor"], x["source"], x["target"]) for x in run("hungarian_match")} == matched
+    assert {x["factor"]: x["matches"] for x in run("correspondence_summary")} == {k: n for k in costs if (n := sum(m[0] == k for m in matched))}
+    near = run("nearest_parent_levels")
+    assert {x["factor"] for x in near} == {2, 4, 8} and len(near) == 3 * len(set(fine.values()))
