@@ -600,15 +600,46 @@ def segment_felzenszwalb(spark, d):
     return _segments(spark, d, "felzenszwalb")
 
 
+def sensitivity_variants(config: dict) -> dict[str, dict]:
+    """One-factor-family changes of a configuration, by name."""
+    segments, compact, merge, barrier = (config[k] for k in ("slicSegments", "slicCompactness", "mergeEnergyThreshold", "edgeBarrierThreshold"))
+    return {
+        "coarser_partition": {"slicSegments": max(8, int(segments * 0.75)), "slicCompactness": min(50.0, compact * 1.25)},
+        "finer_partition": {"slicSegments": min(180, int(segments * 1.25)), "slicCompactness": max(0.1, compact * 0.80)},
+        "conservative_merges": {"mergeEnergyThreshold": max(-10.0, merge - 0.08), "edgeBarrierThreshold": max(0.0, barrier - 0.15)},
+        "permissive_merges": {"mergeEnergyThreshold": min(10.0, merge + 0.08), "edgeBarrierThreshold": min(1.0, barrier + 0.15)},
+        "native_scale_only": {"scaleLevels": [1]},
+    }
+
+
+def analysed(p: DataFrame, config: dict) -> DataFrame:
+    """Segmentation, merge tree, native graph and residual reconstruction of feature pixels, a row of measures an image."""
+    labels = segmentation.segment(p, config).select("image_id", "y", "x", "label")
+    l = saved(recon.local_coordinates(regions.interior_boundary(p.drop("label").join(labels, ["image_id", "y", "x"]))))  # noqa: E741
+    grown = tree.merge_tree(l, config).groupBy("image_id").agg(F.count_if(F.col("delta_j").isNull()).alias("micro_regions"), F.count_if(F.col("delta_j").isNotNull()).alias("merge_nodes"))
+    e = saved(regions.geometry(l).join(l.groupBy(*regions.KEY).agg(*(F.avg(c).alias(c) for c in ("lab_l", "lab_a", "lab_b"))), regions.KEY))
+    k = config["graphK"]
+    links = graph.candidates(regions.shared_boundary(l), graph.knn(e, ["cx", "cy"], k), graph.knn(e, ["lab_l", "lab_a", "lab_b"], k)).groupBy("image_id").agg(F.count(F.lit(1)).alias("native_relationships"))
+    fits = saved(recon.model_fits(l))
+    chosen = recon.select_models(fits, recon.boundary_residual(recon.predict(l, fits)), config["modelPenalty"], config["boundaryLeakagePenalty"])
+    surface, step = saved(recon.paint(recon.predict(l, chosen))), config["residualQuantization"]
+    top = saved(recon.top_residuals(recon.residual_candidates(surface, step), config["maxResidualCandidatePixels"]))
+    fit = saved(recon.residual_within_budget(top, W, H, step, config["residualBudgetBytes"]).select("image_id", "kept", "bytes"))
+    full = saved(recon.apply_residual(surface, top.join(fit, "image_id").filter("rank <= kept"), step))
+    out = grown.join(links, "image_id", "left").join(recon.fidelity(full), "image_id").join(recon.ssim(full, W, H), "image_id").join(fit, "image_id", "left")
+    zero = F.lit(0)
+    # an image root stands over the tree, and each other node has one containment edge from its parent
+    return out.select("image_id", "micro_regions", "merge_nodes", F.lit(1).alias("image_roots"), F.coalesce("native_relationships", zero).alias("native_relationships"), (F.col("micro_regions") + F.col("merge_nodes")).alias("containments"), *(F.round(c, 6).alias(c) for c in ("mse", "psnr", "ssim")), F.coalesce("bytes", zero).alias("residual_bytes"))
+
+
 @query()
 def sensitivity(spark, d):
-    """One-factor variants side by side: a variant is a plan of its own over the same pixels, and all run in one job."""
-    p = saved(stencil.edges(stencil.base_fields(pixels(spark, d))))
-    out = None
-    for name, change in (("base", {}), ("fewer_segments", {"slicSegments": 36}), ("more_segments", {"slicSegments": 144}), ("compact", {"slicCompactness": 20.0}), ("loose", {"slicCompactness": 5.0})):
-        s = segmentation.segment(p, {**DEFAULTS, **change}, "slic").groupBy("image_id").agg(F.count_distinct("label").alias("regions")).withColumn("variant", F.lit(name))
-        out = s if out is None else out.unionByName(s)
-    return out.select("variant", "image_id", "regions")
+    """The measures of each one-factor-family variant over the same pixels."""
+    p, out = saved(featured(spark, d)), None
+    for name, change in sensitivity_variants(DEFAULTS).items():
+        one = analysed(p, {**DEFAULTS, **change}).select(F.lit(name).alias("variant"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # --- runs ----------------------------------------------------------------------------------------------------------

@@ -208,3 +208,13 @@ def test_scale_queries_cover_every_level(spark, tmp_path):
     assert {x["factor"]: x["matches"] for x in run("correspondence_summary")} == {k: n for k in costs if (n := sum(m[0] == k for m in matched))}
     near = run("nearest_parent_levels")
     assert {x["factor"] for x in near} == {2, 4, 8} and len(near) == 3 * len(set(fine.values()))
+
+
+def test_sensitivity_reports_the_variants_and_their_measures(spark, tmp_path):
+    r = random.Random(6)
+    spark.createDataFrame([(k, [r.uniform(-1, 1) for _ in range(64)]) for k in range(50)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {x["variant"]: x for x in queries.QUERIES["sensitivity"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"coarser_partition", "finer_partition", "conservative_merges", "permissive_merges", "native_scale_only"}
+    assert got["coarser_partition"]["micro_regions"] <= got["finer_partition"]["micro_regions"]
+    assert got["conservative_merges"]["merge_nodes"] <= got["permissive_merges"]["merge_nodes"] < got["permissive_merges"]["micro_regions"]
+    assert all(x["native_relationships"] > 0 and x["residual_bytes"] > 0 and x["mse"] >= 0 and 0 < x["psnr"] <= 99 and x["ssim"] <= 1 for x in got.values())
