@@ -9,16 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """spark.checkpoint.dir; a folder of our own where it is unset and everything runs in this process (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="pixrel-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def saved(df: DataFrame) -> DataFrame:
+def scratch(spark: SparkSession, label: str = "table") -> str:
+    return f"{shared_dir(spark)}/pixrel-{label}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, label: str = "table", codec: str = "zstd") -> DataFrame:
     """df as a Parquet table of the shared folder, read back."""
-    path = f"{shared_dir(df.sparkSession)}/pixrel-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table through Hadoop's file system, so that any store works."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_saved(df: DataFrame) -> None:
+    """Delete the files of a table that saved() returned and nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/pixrel-" in path:
+            remove(df.sparkSession, path)
