@@ -5,46 +5,20 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixrel.plans.shared import drop_saved, remove, saved, scratch, shared_dir  # noqa: F401
 
 #: Odd multiplier of the polynomial byte hash (golden-ratio constant) and its inverse modulo 2**64.
 POLY = 0x9E3779B97F4A7C15
 POLY_INV = pow(POLY, -1, 1 << 64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="pixrel-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/pixrel-{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, and survives lost executors."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table through Hadoop's file system, so that any store works."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
@@ -70,8 +44,28 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(run, schema)
 
 
-def n_parts(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input that one partition of an operator's own exchanges is meant for at most.
+PART_BYTES = 128 << 20
+
+
+def n_parts(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """Partitions of an exchange: the session's number, more where the files of df hold over PART_BYTES for each."""
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) if df is not None else 0
+    return max(n, -(-size // PART_BYTES)) if size < 1 << 60 else n  # plans without files have no size
+
+
+#: Rows of a side that is broadcast at most.
+BROADCAST_ROWS = 20_000
+
+
+def small_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with side, which has a row for each combination of keys and is a saved table, so that counting it is cheap.
+
+    A side of BROADCAST_ROWS at most is broadcast, so that few keys do not gather rows in few tasks. Beyond that both
+    are shuffled; nothing above the join asks for a key's rows together, so that Spark can split skewed partitions.
+    """
+    return rows.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, keys, how)
 
 
 def powers(n: int, base: int = POLY) -> np.ndarray:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixrel.llm.common import LOWER, map_arrow, materialize, texts
+from pixrel.llm.common import LOWER, map_arrow, saved, texts
 
 #: Notices by SPDX identifier: fixed values, as the licences' own texts word them.
 TEMPLATES = {
@@ -161,7 +161,7 @@ def scan(docs: DataFrame, path: Column, text: str = "text", id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("path"), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], names=["doc_id", "path", "own", "score", "is_file"])
 
     types = {f.name: f.dataType.simpleString() for f in d.schema}
-    m = materialize(map_arrow(d, match, f"doc_id {types['doc_id']}, path string, own string, score double, is_file boolean"), "licenses")
+    m = saved(map_arrow(d, match, f"doc_id {types['doc_id']}, path string, own string, score double, is_file boolean"), "licenses")
     m = m.withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     votes = m.filter("is_file and dir is not null").groupBy("dir", "own").agg(F.count(F.lit(1)).alias("n"))
     speaks = votes.withColumn("rank", F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("n"), "own"))).filter("rank = 1").select(F.col("dir").alias("from_dir"), F.col("own").alias("inherited"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixrel.llm.common import materialize
+from pixrel.llm.common import saved
 
 #: Words of a block, documents of a shard (on average), and the seed of the order in which blocks are taken.
 BLOCK_WORDS, SHARD_DOCS, SEED = 64, 4096, "mix-1"
@@ -64,7 +64,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, blo
     again where it exceeds the shard, never beyond cap times the shard. Null and empty texts have size 0 and nothing
     is taken; repeated ids are documents of their own; an empty table gives no row; other columns are not read.
     """
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("~")).alias("__key"), word_count(F.col(text)).alias("size")), "sizes")
+    sized = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("~")).alias("__key"), word_count(F.col(text)).alias("size")), "sizes")
     per_source = sized.groupBy("__key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("__docs"))
     targets = capped_targets(per_source, weights, cap)
     everything = Window.partitionBy(F.lit(0))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixrel.llm.common import SPACE, gram_hashes, map_arrow, materialize, texts, word_hashes
+from pixrel.llm.common import SPACE, gram_hashes, map_arrow, saved, texts, word_hashes
 
 #: Contract limits of the base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -102,7 +102,7 @@ def judge(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str
     null languages and sources are groups of their own; repeated ids are judged alike, row by row.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("~")).alias("lang"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("~")).alias("source"), F.col(text).alias("text"))
-    m = materialize(measured(d), "measures")
+    m = saved(measured(d), "measures")
     own, whole = fences(m, ["lang", "source"]), fences(m, ["lang"]).select("lang", "metric", F.col("__fence").alias("__wide"))
     both = own.join(whole, ["lang", "metric"]).select("lang", "source", "metric", F.expr(f"(__all * __fence + {PRIOR_DOCS} * __wide) div (__all + {PRIOR_DOCS})").alias("__limit"))
     limits = both.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == x, F.col("__limit"))).alias(f"__{x}") for x in METRICS))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixrel.llm.common import HASH, map_arrow, materialize, mix, n_parts, texts
+from pixrel.llm.common import HASH, map_arrow, saved, mix, n_parts, texts
 
 LENGTH, GRAM = 200, 32
 #: Bytes of group texts that one transform takes. Of a larger group it takes two windows of each class of equal hashes.
@@ -226,7 +226,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     spark = docs.sparkSession
     parts = n_parts(spark)
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    members = materialize(d.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key")), "members")
+    members = saved(d.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key")), "members")
     only_text = d.select("text")
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.fixture(scope="module")
 def docs(spark):
     d = spark.createDataFrame(ROWS, SCHEMA)
-    return common.materialize(d.withColumn("score", F.lit("extra")).withColumn("size", F.lit(1)).repartition(3), "docs")
+    return common.saved(d.withColumn("score", F.lit("extra")).withColumn("size", F.lit(1)).repartition(3), "docs")
 
 
 @pytest.fixture(scope="module")
@@ -259,7 +259,7 @@ def test_pipeline_stages_keep_the_columns(spark, docs, tmp_path):
     spark.createDataFrame([(r[0], 1, 0) for r in ROWS if r[0]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     d = docs
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        d = common.materialize(stage(spark, d, str(tmp_path)), "stage")
+        d = common.saved(stage(spark, d, str(tmp_path)), "stage")
         if i < len(corpus_pipeline.STAGES) - 1:
             assert d.columns == docs.columns
     assert d.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and d.count() > 0
