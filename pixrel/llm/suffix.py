@@ -8,21 +8,27 @@ are repeated: breadth-first backward extension derives common prefixes by increa
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixrel.llm.common import HASH, map_arrow, saved, mix, n_parts, texts
+from pixrel.llm.common import HASH, map_arrow, mix, n_parts, saved, texts
 
 LENGTH, GRAM = 200, 32
-#: Bytes of group texts that one transform takes. Of a larger group it takes two windows of each class of equal hashes.
-CHUNK = 300_000
+#: Bytes of group texts that one transform takes. A larger group is halved by window starts and split by the bytes that
+#: all windows of a half have in common, until the transform takes the rest.
+CHUNK = 400_000
 #: Occurrences beyond which an anchor's windows are grouped by what SPLIT neighbours (and at last each alone) have in common:
-#: the same windows meet, in groups that no common passage makes large.
-HOT, HOTTEST, SPLIT = 1_000, 200_000, 42
+#: the same windows meet, in groups that no common passage makes large. Groups below HOT fit one transform.
+HOT, HOTTEST, SPLIT = CHUNK // (2 * LENGTH), 200_000, 42
+#: Documents whose anchors tell beforehand which anchors are hot. Occurrences of these never meet; the list only moves
+#: work, as windows meet by what they have in common in any case.
+SAMPLE_DOCS = 20_000
+#: Windows of a text whose anchors are found at once; bytes of segments or texts that a task gathers before it hands them on.
+SLICE, HELD = 8_000_000, 64_000_000
 #: Prefix lengths that are compared word by word before the expansion starts.
 DIRECT = 32
 
@@ -70,7 +76,7 @@ def anchors(buf: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np
             else:
                 found.append((hit, start, stop))
             start, before = stop + 1, hit
-    p, a, b = (np.array(c, np.int64) for c in zip(*found, strict=True))
+    p, a, b = (np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
     return mix(h[p]), p, a, b, local  # least hashes crowd near 0: mixed, so that parts are even
 
 
@@ -154,38 +160,39 @@ def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.nda
     return [np.flatnonzero(hit[s : s + z]) for s, z in zip(begin, sizes, strict=True)]
 
 
-def repeated_in_large(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """As repeated_windows, for a group of any size: windows are classed by hash, and the transform takes two of each class."""
-    counts = np.array([len(s) - length + 1 for s in segments], np.int64)
-    hashes, i = [], 0
-    while i < len(segments):  # in slices, so that memory stays small
-        j, size = i, 0
-        while j < len(segments) and size < CHUNK:
-            size += len(segments[j])
-            j += 1
-        buf = np.frombuffer(b"".join(segments[i:j]), np.uint8)
-        begin = np.cumsum([0, *(len(s) for s in segments[i : j - 1])])
-        at = np.concatenate([b + np.arange(c) for b, c in zip(begin, counts[i:j], strict=True)])
-        hashes.append(HASH.ranges(HASH.prefix(buf), at, at + length))
-        i = j
-    h = np.concatenate(hashes)
-    order = np.argsort(h, kind="stable")
-    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-    first = np.flatnonzero(new)
-    cls = np.empty(len(h), np.int64)
-    cls[order] = np.cumsum(new) - 1
-    several = np.flatnonzero(np.diff(np.append(first, len(h))) > 1)
-    owner, start = np.repeat(np.arange(len(segments)), counts), np.concatenate([np.arange(c) for c in counts])
-    window = lambda k: segments[owner[k]][start[k] : start[k] + length]
-    sure = np.zeros(len(first), bool)
-    step = max(1, CHUNK // (2 * length))
-    for a in range(0, len(several), step):
-        some = several[a : a + step]
-        pairs = [window(order[first[c] + q]) for c in some for q in (0, 1)]
-        found = repeated_windows(pairs, length)
-        sure[some] = [len(found[2 * q]) > 0 and len(found[2 * q + 1]) > 0 for q in range(len(some))]
-    hit = np.split(sure[cls], np.cumsum(counts)[:-1])
-    return [np.flatnonzero(x) for x in hit]
+Item = tuple[int, int, bytes]
+
+
+def split_repeats(items: list[tuple[int, bytes]], length: int = LENGTH, chunk: int = CHUNK) -> list[np.ndarray]:
+    """As repeated_windows, for a group of any size: items are (lead, segment), the windows' places in a common cell and their bytes.
+
+    Equal windows have one place in the cell, as they hold one anchor. So places are halved, and the segments of a
+    half are grouped by the bytes that all its windows share, which are more at each turn; a group that fits goes to
+    the transform, and a single place is left with equal windows alone.
+    """
+    found = [np.zeros(max(0, len(s) - length + 1), bool) for _, s in items]
+    todo: list[tuple[list[Item], int, int]] = [([(i, lead, s) for i, (lead, s) in enumerate(items)], 0, max((lead + len(s) - length + 1 for lead, s in items), default=0))]
+    while todo:
+        group, lo, hi = todo.pop()
+        if len(group) < 2 or hi <= lo:
+            continue
+        if hi - lo == 1:  # grouped by all their bytes
+            for i, lead, _ in group:
+                found[i][lo - items[i][0]] = True
+            continue
+        if sum(len(s) for _, _, s in group) <= chunk:
+            for (i, lead, _), starts in zip(group, repeated_windows([s for _, _, s in group], length), strict=True):
+                found[i][starts + lead - items[i][0]] = True
+            continue
+        mid = (lo + hi) // 2
+        for a, b in ((lo, mid), (mid, hi)):
+            halves: dict[bytes, list[Item]] = {}
+            for i, lead, s in group:
+                first, last = max(a, lead), min(b, lead + len(s) - length + 1)
+                if first < last:
+                    halves.setdefault(s[b - 1 - lead : a + length - lead], []).append((i, first, s[first - lead : last - 1 - lead + length]))
+            todo += [(x, a, b) for x in halves.values()]
+    return [np.flatnonzero(x) for x in found]
 
 
 ANCHOR = np.dtype([("tail", "<u4"), ("pos", "<u4"), ("before", "u1"), ("after", "u1"), ("owner", "<u2")])
@@ -200,6 +207,12 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
+def name_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Name of an anchor: its part, and 32 bits of its hash that the part leaves open."""
+    low = np.uint64(max(0, 32 - max(0, parts.bit_length() - 1)))
+    return (part_of(h, parts).astype(np.uint64) << np.uint64(32)) | ((h >> low) & np.uint64(0xFFFFFFFF))
+
+
 def home(keys: np.ndarray, parts: int) -> np.ndarray:
     """Part of a text by its key."""
     return part_of(np.frombuffer(keys.tobytes(), "<u8")[::2], parts)
@@ -216,47 +229,106 @@ def arrow(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
 
 
+def sliced_anchors(t: bytes, length: int, gram: int, windows: int = SLICE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """anchors() of a text, so many windows at a time: an anchor follows from its window's bytes alone."""
+    buf = np.frombuffer(t, np.uint8)
+    got = []
+    for at in range(0, max(1, len(t) - length + 1), windows):
+        h, p, a, b, local = anchors(buf[at : at + windows + length - 1], length, gram)
+        got.append((h, p + at, a + at, b + at, [(x + at, y + at) for x, y in local]))
+    if len(got) == 1:
+        return got[0]
+    h, p, a, b, local = zip(*got, strict=True)
+    return np.concatenate(h), np.concatenate(p), np.concatenate(a), np.concatenate(b), [x for y in local for x in y]
+
+
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs that spans cover; spans that touch are one run."""
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order].astype(np.int64), np.maximum.accumulate(end[order].astype(np.int64))
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+    return start[new], reach[np.append(new[1:], len(reach)) - 1]
+
+
+def hot_anchors(only_text: DataFrame, n_docs: int, length: int, gram: int, parts: int) -> dict[int, int]:
+    """Heat of the anchors with over a quarter of a part's share, as a sample of about SAMPLE_DOCS documents tells: 4 a part at most."""
+    share = min(1.0, SAMPLE_DOCS / max(1, n_docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = [name_of(sliced_anchors(t, length, gram)[0], parts) for t in texts(batch) if len(t) >= length]
+            names, count = np.unique(np.concatenate(h), return_counts=True) if h else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(count.astype(np.int64))], names=["name", "n"])
+
+    counts = saved(map_arrow(only_text.sample(share, seed=1) if share < 1 else only_text, run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1"), "hot")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.filter(F.col("n") > max(HOT * share, 15, total / (4 * parts))).collect()
+    return {r["name"] % (1 << 64): 2 if r["n"] / share > HOTTEST else 1 for r in found}
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text the kept bytes.
 
     Texts are UTF-8 bytes, null is empty; those below length bytes keep all. Repeated rows and equal texts of any
-    ids are copies: all their bytes go where they reach length. Rows without an id are treated alike. Equal texts
-    pass the join once; distinct texts cross the network twice, and of repeated passages the bytes around each anchor.
+    ids are copies: all their bytes go where they reach length. Rows without an id are treated alike; an empty table
+    gives no row; other columns are not read. Equal texts pass the join once; distinct texts cross the network twice,
+    and of repeated passages the bytes around each anchor. A text is held in one task, and some 60 bytes of memory for
+    each of SLICE bytes of it.
     """
     spark = docs.sparkSession
-    parts = n_parts(spark)
+    parts = n_parts(spark, docs.select(text))
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     members = saved(d.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key")), "members")
     only_text = d.select("text")
+    hot = hot_anchors(only_text, members.count(), length, gram, parts)
+    hot_names = np.array(sorted(hot), np.uint64)
+    hot_heat = np.array([hot[k] for k in sorted(hot)], np.uint8)
+
+    def routed(rows: np.ndarray) -> list[tuple[int, bytes]]:
+        """Rows with a text's key, by the text's part."""
+        return [(part, own.tobytes()) for part, own in dealt(home(rows["key"], parts), rows)]
+
+    def to_texts(blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        n = len(blobs)
+        return arrow({"part": ([p for p, _ in blobs], pa.int32()), "kind": ([0] * n, pa.int32()), "rows": ([x for _, x in blobs], pa.binary()), "key": ([None] * n, pa.binary()), "text": ([None] * n, pa.string())})
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         held: list[tuple] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             h = np.concatenate([x[1] for x in held])
             spans = [(x[0], a, b) for x in held for a, b in x[5]]
-            rows = np.zeros(len(h), ANCHOR)
-            rows["owner"] = np.repeat(np.arange(len(held)), [len(x[1]) for x in held])
-            rows["pos"] = np.concatenate([x[2] for x in held])
-            rows["before"] = rows["pos"] - np.concatenate([x[3] for x in held])
-            rows["after"] = rows["pos"] - np.concatenate([x[4] for x in held])
-            low = np.uint64(max(0, 32 - max(0, parts.bit_length() - 1)))
-            rows["tail"] = (h >> low) & np.uint64(0xFFFFFFFF)
             keys = np.frombuffer(b"".join(x[0] for x in held), "V16")
+            owner = np.repeat(np.arange(len(held)), [len(x[1]) for x in held])
+            pos = np.concatenate([x[2] for x in held])
+            before, after = pos - np.concatenate([x[3] for x in held]), pos - np.concatenate([x[4] for x in held])
+            name = name_of(h, parts)
+            known = np.isin(name, hot_names)
+            rows = np.zeros(int((~known).sum()), ANCHOR)
+            for c, v in (("owner", owner), ("pos", pos), ("before", before), ("after", after), ("tail", name & np.uint64(0xFFFFFFFF))):
+                rows[c] = v[~known]
             out = []
-            for part, own in dealt(part_of(h, parts), rows):
+            for part, own in dealt((name[~known] >> np.uint64(32)).astype(np.int64), rows):
                 used, local = np.unique(own["owner"], return_inverse=True)
                 own = own.copy()
                 own["owner"] = local
                 out.append((part, own.tobytes(), keys[used].tobytes()))
-            if spans:  # go with the rows, told apart by their keys
+            # places of hot anchors, and spans repeated in their text, go to their texts: told apart by their keys
+            if known.any():
+                own = np.zeros(int(known.sum()), PLACE)
+                for c, v in (("key", keys[owner]), ("name", name), ("pos", pos), ("before", before), ("after", after)):
+                    own[c] = v[known]
+                own["heat"] = hot_heat[np.searchsorted(hot_names, name[known])]
+                out += [(part, raw, b"") for part, raw in routed(own)]
+            if spans:
                 own = np.zeros(len(spans), PLACE)
                 own["key"] = np.frombuffer(b"".join(x[0] for x in spans), "V16")
                 own["pos"], own["name"], own["heat"] = [x[1] for x in spans], [x[2] for x in spans], LOCAL
-                out += [(part, rows.tobytes(), b"") for part, rows in dealt(home(own["key"], parts), own)]
-            cols = list(zip(*out, strict=True))
-            return arrow({"part": (cols[0], pa.int32()), "rows": (cols[1], pa.binary()), "keys": (cols[2], pa.binary())})
+                out += [(part, raw, b"") for part, raw in routed(own)]
+            if out:
+                cols = list(zip(*out, strict=True))
+                yield arrow({"part": (cols[0], pa.int32()), "rows": (cols[1], pa.binary()), "keys": (cols[2], pa.binary())})
 
         total = 0
         for batch in batches:
@@ -265,26 +337,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                 if key in seen or len(t) < length:
                     continue
                 seen.add(key)
-                h, p, a, b, local = anchors(np.frombuffer(t, np.uint8), length, gram)
-                held.append((key, h, p, a, b, local))
-                total += len(h)
+                held.append((key, *sliced_anchors(t, length, gram, SLICE)))
+                total += len(held[-1][1])
                 if total >= 2_000_000 or len(held) >= 60_000:
-                    yield flush()
+                    yield from flush()
                     held, total = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     def find_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list[np.ndarray]] = {}
-
-        def out(rows: np.ndarray) -> pa.RecordBatch:
-            cols = list(zip(*((dest, own.tobytes()) for dest, own in dealt(home(rows["key"], parts), rows)), strict=True))
-            return arrow({"part": (cols[0], pa.int32()), "kind": ([0] * len(cols[0]), pa.int32()), "rows": (cols[1], pa.binary()), "key": ([None] * len(cols[0]), pa.binary()), "text": ([None] * len(cols[0]), pa.string())})
-
         for batch in batches:
             for p, r, k in zip(*(batch.column(c).to_pylist() for c in ("part", "rows", "keys")), strict=True):
                 if not k:
-                    yield out(np.frombuffer(r, PLACE))
+                    yield to_texts(routed(np.frombuffer(r, PLACE)))
                     continue
                 rows = np.frombuffer(r, ANCHOR)
                 keep = np.zeros(len(rows), PLACE)
@@ -307,7 +373,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             rows["heat"] = np.where(count > HOTTEST, 2, np.where(count > HOT, 1, 0))
             rows = rows[count > 1]
             if len(rows):
-                yield out(rows)
+                yield to_texts(routed(rows))
 
     def deal_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -336,6 +402,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                     continue
                 if table is None:
                     every = np.frombuffer(b"".join(blobs), dtype)
+                    blobs = []
                     pair = np.frombuffer(every["key"].tobytes(), "<u8").reshape(-1, 2)
                     every = every[np.lexsort((pair[:, 1], pair[:, 0]))]
                     cut = np.flatnonzero(np.concatenate([[True], every["key"][1:] != every["key"][:-1]])) if len(every) else np.empty(0, np.int64)
@@ -345,45 +412,68 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                     yield key, t, table.get(key, every[:0])
 
     def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments: dict[tuple[int, int, bytes], list[bytes]] = {}
+        """Segments with one spot each: of a segment that a task has at several, all windows are repeated, and its spots are settled here."""
+        segments: dict[tuple[int, int, int, bytes], list[bytes]] = {}
+        spans: list[np.ndarray] = []
+        size = 0
+
+        def add(part: int, name: int, lead: int, seg: bytes, spot: bytes) -> None:
+            nonlocal size
+            segments.setdefault((part, name, lead, seg), []).append(spot)
+            size += len(seg) + 200
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = []
+            for (part, name, lead, seg), spots in segments.items():
+                if len(spots) > 1:
+                    at = np.frombuffer(b"".join(spots), SPOT)
+                    own = np.zeros(len(at), SPAN)
+                    own["key"], own["start"], own["end"] = at["key"], at["start"], at["start"] + len(seg)
+                    spans.append(own)
+                rows.append((part, name - (name >> 63 << 64), lead, seg, spots[0] if len(spots) == 1 else b""))
+            segments.clear()
+            if spans:
+                rows += [(part, 0, 0, b"", raw) for part, raw in routed(np.concatenate(spans))]
+                spans.clear()
+            for i in range(0, len(rows), 20_000):
+                cols = list(zip(*rows[i : i + 20_000], strict=True))
+                yield arrow({n: (c, t) for n, c, t in zip(("part", "name", "lead", "segment", "spots"), cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
+
         for key, t, places in by_key(batches, PLACE):
-            spans = np.zeros(int((places["heat"] == LOCAL).sum()), SPAN)
-            if len(spans):
-                own = places[places["heat"] == LOCAL]
-                spans["key"], spans["start"], spans["end"] = own["key"], own["pos"], own["name"]
-                segments.setdefault((int(home(spans["key"][:1], parts)[0]), 0, b""), []).append(spans.tobytes())
-                places = places[places["heat"] != LOCAL]
-            if not len(places):
-                continue
+            local = places["heat"] == LOCAL
+            if local.any():
+                own = np.zeros(int(local.sum()), SPAN)
+                own["key"], own["start"], own["end"] = places["key"][local], places["pos"][local], places["name"][local]
+                spans.append(own)
+                places = places[~local]
             lo, hi = places["pos"] - places["before"].astype(np.int64), places["pos"] - places["after"].astype(np.int64)
             for name, pos, a, b, heat in zip(places["name"].tolist(), places["pos"].tolist(), lo.tolist(), hi.tolist(), places["heat"].tolist(), strict=True):
                 if not heat:
-                    segments.setdefault((name >> 32, name, t[a : b + length]), []).append(key + a.to_bytes(4, "little"))
+                    add(name >> 32, name, length - gram - (pos - a), t[a : b + length], key + a.to_bytes(4, "little"))
                     continue
                 width = SPLIT if heat == 1 else 1
                 for grid in range((pos - b) // width, (pos - a) // width + 1):  # starts by their distance before the anchor
-                    first, last = pos - grid * width - width + 1, pos - grid * width
+                    begin, last = pos - grid * width - width + 1, pos - grid * width
                     # what all windows of the cell hold, here and in any text with the same anchor
-                    core = hashlib.blake2b(t[last : first + length], digest_size=8, salt=grid.to_bytes(2, "little")).digest()
+                    core = hashlib.blake2b(t[last : begin + length], digest_size=8, salt=grid.to_bytes(2, "little")).digest()
                     h = int.from_bytes(core, "little")
-                    first, last = max(first, a), min(last, b)
-                    segments.setdefault(((h >> 32) * parts >> 32, h, t[first : last + length]), []).append(key + first.to_bytes(4, "little"))
-        items = iter(segments.items())
-        while chunk := [x for _, x in zip(range(20_000), items, strict=False)]:
-            yield arrow({"part": ([k[0] for k, _ in chunk], pa.int32()), "name": ([k[1] - (k[1] >> 63 << 64) for k, _ in chunk], pa.int64()), "segment": ([k[2] for k, _ in chunk], pa.binary()), "spots": ([b"".join(v) for _, v in chunk], pa.binary())})
+                    first, last = max(begin, a), min(last, b)
+                    add((h >> 32) * parts >> 32, h, first - begin, t[first : last + length], key + first.to_bytes(4, "little"))
+            if size >= HELD:
+                yield from flush()
+                size = 0
+        yield from flush()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[int, dict[bytes, list[bytes]]] = {}
+        """Rows come by name: a group is complete when the next begins."""
         out: list[np.ndarray] = []
-        for batch in batches:
-            for name, seg, spots in zip(*(batch.column(c).to_pylist() for c in ("name", "segment", "spots")), strict=True):
-                if not seg:
-                    out.append(np.frombuffer(spots, SPAN))
-                    continue
-                groups.setdefault(name, {}).setdefault(seg, []).append(spots)
+        chunk: list[tuple[int, bytes, list[bytes], bool]] = []  # lead, segment, spots, whether it is known to come twice
+        size = 0
+        name: int | None = None
+        group: dict[tuple[int, bytes], list] = {}
 
         def emit(seg: bytes, spots: list[bytes], starts: np.ndarray) -> None:
-            if not len(starts):
+            if not len(starts) or not spots:
                 return
             cut = np.flatnonzero(np.diff(starts) != 1)
             first, last = starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])]
@@ -394,45 +484,54 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             spans["end"] = at["start"][:, None] + last + length
             out.append(spans.ravel())
 
+        def transform(rows: list[tuple[int, bytes, list[bytes], bool]], found: list[np.ndarray]) -> None:
+            for (_, seg, spots, twice), starts in zip(rows, found, strict=True):
+                emit(seg, spots, np.arange(len(seg) - length + 1) if twice else starts)
+
         def flush() -> Iterator[pa.RecordBatch]:
             if out:
-                rows = np.concatenate(out)
+                yield to_texts(routed(np.concatenate(out)))
                 out.clear()
-                cols = list(zip(*((dest, own.tobytes()) for dest, own in dealt(home(rows["key"], parts), rows)), strict=True))
-                n = len(cols[0])
-                yield arrow({"part": (cols[0], pa.int32()), "kind": ([0] * n, pa.int32()), "rows": (cols[1], pa.binary()), "key": ([None] * n, pa.binary()), "text": ([None] * n, pa.string())})
 
-        chunk: list[tuple[bytes, list[bytes]]] = []
-        size = 0
+        def close() -> None:
+            nonlocal chunk, size
+            rows = [(lead, seg, spots, len(spots) > 1 or bool(more)) for (lead, seg), (spots, more) in group.items()]
+            own = sum(len(r[1]) for r in rows)
+            if len(rows) == 1 or not any(r[2] for r in rows):
+                for _, seg, spots, twice in rows:
+                    emit(seg, spots, np.arange(len(seg) - length + 1) if twice else np.empty(0, np.int64))
+            elif own > CHUNK:
+                transform(rows, split_repeats([(r[0], r[1]) for r in rows], length, CHUNK))
+            else:
+                chunk += rows
+                size += own
+                if size >= CHUNK:
+                    transform(chunk, repeated_windows([r[1] for r in chunk], length))
+                    chunk, size = [], 0
 
-        def transform(chunk: list[tuple[bytes, list[bytes]]], find: Callable[[list[bytes], int], list[np.ndarray]] = repeated_windows) -> None:
-            for (seg, spots), starts in zip(chunk, find([x for x, _ in chunk], length), strict=True):
-                whole = sum(map(len, spots)) > SPOT.itemsize  # an equal segment elsewhere repeats all its windows
-                emit(seg, spots, np.arange(len(seg) - length + 1) if whole else starts)
-
-        while groups:
-            _, group = groups.popitem()
-            if len(group) == 1:
-                (seg, spots), = group.items()
-                if sum(map(len, spots)) > SPOT.itemsize:
-                    emit(seg, spots, np.arange(len(seg) - length + 1))
-                continue
-            if (own := sum(map(len, group))) > CHUNK:
-                transform(list(group.items()), repeated_in_large)
-                yield from flush()
-                continue
-            chunk += group.items()
-            size += own
-            if size >= CHUNK:
-                transform(chunk)
-                chunk, size = [], 0
+        for batch in batches:
+            for n, lead, seg, spots in zip(*(batch.column(c).to_pylist() for c in ("name", "lead", "segment", "spots")), strict=True):
+                if not seg:
+                    out.append(np.frombuffer(spots, SPAN))
+                    continue
+                if n != name:
+                    close()
+                    name, group = n, {}
+                held = group.setdefault((lead, seg), [[], 0])
+                if spots:
+                    held[0].append(spots)
+                else:
+                    held[1] += 1
+            if sum(map(len, out)) > 200_000:
                 yield from flush()
+        close()
         if chunk:
-            transform(chunk)
+            transform(chunk, repeated_windows([r[1] for r in chunk], length))
         yield from flush()
 
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        size = 0
 
         def batch_of() -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True))
@@ -441,16 +540,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         for key, t, spans in by_key(batches, SPAN):
             kept, removed, runs = t, 0, 0
             if len(spans):
-                edge = np.zeros(len(t) + 1, np.int64)
-                np.add.at(edge, spans["start"], 1)
-                np.add.at(edge, spans["end"], -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                removed, runs = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-                kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+                start, end = merged(spans["start"], spans["end"])
+                removed, runs = int((end - start).sum()), len(start)
+                kept = b"".join([t[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(t)], strict=True)])
             rows.append((key, len(t), removed, runs, hashlib.sha256(kept).hexdigest(), *[kept] * with_text))
-            if len(rows) >= 1000:
+            size += len(kept) * with_text
+            if len(rows) >= 1000 or size > HELD:
                 yield batch_of()
-                rows = []
+                rows, size = [], 0
         if rows:
             yield batch_of()
 
@@ -461,12 +558,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         return rows.unionByName(map_arrow(only_text, deal_texts, mixed)).repartitionById(parts, F.col("part")).sortWithinPartitions("kind")
 
     found = map_arrow(map_arrow(only_text, find_anchors, "part int, rows binary, keys binary").repartitionById(parts, F.col("part")), find_repeats, mixed)
-    segments = map_arrow(gather(found), cut_segments, "part int, name long, segment binary, spots binary")
-    spans = map_arrow(segments.repartitionById(parts, F.col("part")), judge, mixed)
+    segments = map_arrow(gather(found), cut_segments, "part int, name long, lead int, segment binary, spots binary")
+    spans = map_arrow(segments.repartitionById(parts, F.col("part")).sortWithinPartitions("name"), judge, mixed)
     results = map_arrow(gather(spans), cut_texts, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
     copies = members.groupBy("key").agg(F.count(F.lit(1)).alias("__copies"))
     twice = (F.col("__copies") > 1) & (F.col("n_bytes") >= length)
     r = results.join(copies, "key").select(
         "key", "n_bytes", F.when(twice, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(twice, 1).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
         F.when(twice, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"), *[F.when(twice, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] * with_text)
-    return members.join(r, "key").drop("key")
+    # a table before the join, so that the rows of a text with very many copies can be split over tasks
+    return members.join(saved(r, "results"), "key").drop("key")

@@ -151,7 +151,6 @@ def test_repeated_windows_match_brute_force():
                 count[s[i : i + length]] = count.get(s[i : i + length], 0) + 1
         want = [[i for i in range(len(s) - length + 1) if count[s[i : i + length]] > 1] for s in segments]
         assert [x.tolist() for x in suffix.repeated_windows(segments, length)] == want
-        assert [x.tolist() for x in suffix.repeated_in_large(segments, length)] == want
 
 
 def test_anchors_cover_every_window_or_tell_it_repeated():
@@ -169,3 +168,27 @@ def test_anchors_cover_every_window_or_tell_it_repeated():
         covered = {i for k in again for i in range(k, k + 200)}
         assert {i for a, b in local for i in range(a, b)} <= covered
         assert set(range(len(windows))) - met <= {k for a, b in local for k in range(a, b - 199)}
+
+
+def test_split_repeats_match_brute_force():
+    """Segments of one cell: windows at the same place may be equal, and only there."""
+    r = random.Random(4)
+    for _ in range(200):
+        length, width = r.choice([(40, 9), (60, 13)])
+        core = bytes(r.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(length - width + 1))
+        items = []
+        for _ in range(r.randint(2, 30)):
+            sides = [bytes(r.choice(b"xy") for _ in range(width - 1)) for _ in range(2)]
+            lead, last = sorted((r.randrange(width), r.randrange(width)))
+            items.append((lead, (sides[0] + core + sides[1])[lead : last + length]))
+        count: dict = {}
+        for k, s in items:
+            for i in range(len(s) - length + 1):
+                count[k + i, s[i : i + length]] = count.get((k + i, s[i : i + length]), 0) + 1
+        want = [[i for i in range(len(s) - length + 1) if count[k + i, s[i : i + length]] > 1] for k, s in items]
+        assert [x.tolist() for x in suffix.split_repeats(items, length, chunk=r.choice([1, 300, 10_000]))] == want
+
+
+def test_merged_runs():
+    start, end = suffix.merged(np.array([50, 0, 5, 20, 60]), np.array([60, 5, 9, 30, 61]))
+    assert start.tolist() == [0, 20, 50] and end.tolist() == [9, 30, 61]
