@@ -362,11 +362,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         for p in sorted(got):
             rows = np.concatenate(got.pop(p))
             pair = np.frombuffer(rows["key"].tobytes(), "<u8").reshape(-1, 2)
-            order = np.lexsort((rows["pos"], pair[:, 1], pair[:, 0], rows["name"]))
+            order = np.lexsort((rows["before"], rows["pos"], pair[:, 1], pair[:, 0], rows["name"]))
             rows, pair = rows[order], pair[order]
             new_name = np.concatenate([[True], rows["name"][1:] != rows["name"][:-1]])
             fresh = new_name.copy()  # a text may come from several tasks
-            fresh[1:] |= (pair[1:] != pair[:-1]).any(axis=1) | (rows["pos"][1:] != rows["pos"][:-1])
+            fresh[1:] |= (pair[1:] != pair[:-1]).any(axis=1) | (rows["pos"][1:] != rows["pos"][:-1]) | (rows["before"][1:] != rows["before"][:-1])
             rows, new_name = rows[fresh], new_name[fresh]
             group = np.cumsum(new_name) - 1
             count = np.bincount(group)[group]
