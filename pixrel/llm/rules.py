@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixrel.llm.common import SPACE, gram_hashes, map_arrow, saved, texts, word_hashes
+from pixrel.llm.common import SPACE, gram_hashes, map_arrow, saved, small_join, texts, word_hashes
 
 #: Contract limits of the base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -99,14 +99,16 @@ def judge(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str
 
     A document is kept if the base rule holds and none of its metrics passes the fence of its language and source,
     which leans to the language's fence by PRIOR_DOCS documents. Null texts have no words and fail the base rule;
-    null languages and sources are groups of their own; repeated ids are judged alike, row by row.
+    null languages and sources are groups of their own; repeated ids are judged alike, row by row. An empty table gives
+    no row; other columns are not read. A text is measured whole, in one task, with some 60 bytes of memory for each
+    of its bytes.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit("~")).alias("lang"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("~")).alias("source"), F.col(text).alias("text"))
     m = saved(measured(d), "measures")
     own, whole = fences(m, ["lang", "source"]), fences(m, ["lang"]).select("lang", "metric", F.col("__fence").alias("__wide"))
     both = own.join(whole, ["lang", "metric"]).select("lang", "source", "metric", F.expr(f"(__all * __fence + {PRIOR_DOCS} * __wide) div (__all + {PRIOR_DOCS})").alias("__limit"))
-    limits = both.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == x, F.col("__limit"))).alias(f"__{x}") for x in METRICS))
-    j = m.join(limits, ["lang", "source"], "left")
+    limits = saved(both.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == x, F.col("__limit"))).alias(f"__{x}") for x in METRICS)), "limits")
+    j = small_join(m, limits, ["lang", "source"], "left")
     failed = F.expr(FAILED)
     reason = reduce(lambda a, x: a.when(F.col(x) > F.col(f"__{x}"), F.lit(x)), METRICS, F.when(failed, F.lit("base")))
     return j.select("doc_id", *NAMES, failed.alias("base_failed"), reason.isNull().alias("kept"), reason.alias("reason"))

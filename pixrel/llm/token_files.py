@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-import bisect
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from pixrel.llm.bpe import WordSplitter, encoder, slices
+from tokenizers import Tokenizer
+
 from pixrel.llm.common import map_arrow, n_parts, remove, scratch, texts
 
 #: Tokens of a block (whole documents, so the last may pass it), tokens between checkpoints, longest code.
 BLOCK_TOKENS, CHECKPOINT, MAX_BITS = 262_144, 64, 18
+#: Bytes of text that the library encodes at once, about.
+PIECE = 1 << 20
 FILE_SCHEMA = "part int, first long, start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, checkpoints binary, payload binary"
 
 
@@ -111,46 +116,85 @@ def range_buckets(docs: DataFrame, id_col: str, n: int) -> list[int]:
     return sorted(set(found or []))
 
 
+_LIBRARIES: dict[str, Tokenizer] = {}
+
+
+def library(path: str) -> Tokenizer:
+    """One tokenizer of a file a Python worker, without truncation and padding, on the task's own thread."""
+    if path not in _LIBRARIES:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        t = Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+        _LIBRARIES[path] = t
+    return _LIBRARIES[path]
+
+
+def pieces(text: bytes, most: int = PIECE) -> list[str]:
+    """A text in pieces of about most bytes that begin at white space, which no token holds, so that a long text's tokens are not all in memory at once."""
+    out, at = [], 0
+    while len(text) - at > most:
+        cut = _BLANK.search(text, at + most)
+        if not cut:
+            break
+        out.append(text[at : cut.start()].decode())
+        at = cut.start()
+    return [*out, text[at:].decode()]
+
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def encoded(t: Tokenizer, rows: list[bytes], end_id: int) -> list[np.ndarray]:
+    """Ids of each text, and end_id, as the library encodes it."""
+    out = []
+    short = iter(t.encode_batch_fast([x.decode() for x in rows if len(x) <= PIECE], add_special_tokens=False))
+    for x in rows:
+        if len(x) <= PIECE:
+            ids = [np.array(next(short).ids, "<u4")]
+        else:  # piece by piece
+            ids = [np.array(t.encode_batch_fast([y], add_special_tokens=False)[0].ids, "<u4") for y in pieces(x)]
+        out.append(np.concatenate([*ids, np.array([end_id], "<u4")]))
+    return out
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, text: str = "text", id_col: str = "doc_id", blocks: int = BLOCK_TOKENS) -> None:
     """Encode each text with the tokenizers library, append end_id, and write ids to path in ascending order of doc_id.
 
     path/blocks holds Parquet rows of FILE_SCHEMA, each a block that decodes on its own; path/codes holds the code
-    lengths. Null texts are empty (the end id alone); null ids come first; rows of one id are ordered by their text.
-    Texts cross the network once, compressed; ids are kept once, so that counting them does not encode twice.
+    lengths. Null texts are empty (the end id alone); null ids come first; rows of one id are ordered by a hash of
+    their text, then by it, and deal out over ranges where they are many; repeated rows stay. An empty table gives no
+    block. Other columns are not read. Texts cross the network once; ids are kept once, so that counting them does not
+    encode twice.
     """
     spark = docs.sparkSession
-    n = n_parts(spark)
-    borders = range_buckets(docs, id_col, n)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
-        for batch in batches:
-            bucket = np.array([-1 if x is None else bisect.bisect_right(borders, x) for x in batch.column(0).to_pylist()], np.int64)
-            bucket[bucket < 0] = 0
-            order = np.argsort(bucket, kind="stable")
-            names, first = np.unique(bucket[order], return_index=True)
-            blobs = []
-            for rows in np.split(order, first[1:]):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=options) as w:
-                    w.write_batch(batch.take(pa.array(rows)))
-                blobs.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ranged = d.repartitionByRange(n_parts(spark, d), *order).sortWithinPartitions(*order, "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path, WordSplitter)
-        buckets: dict[int, list[bytes]] = {}
+        t, part = library(tokenizer_path), TaskContext.get().partitionId()
+        at = start = 0
         for batch in batches:
-            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                buckets.setdefault(b, []).append(blob)
-        for b in sorted(buckets):
-            rows = [row for blob in buckets.pop(b) for batch in pa.ipc.open_stream(blob) for row in zip(batch.column(0).to_pylist(), texts(batch, text), strict=True)]
-            rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-            start = 0
-            for i, part in slices(rows):
-                ids = [np.frombuffer(x + end_id.to_bytes(4, "little"), "<u4") for x in enc.cache.encode([r[1] for r in part])]
-                yield pa.RecordBatch.from_arrays([pa.array([b] * len(part), pa.int32()), pa.array(range(i, i + len(part)), pa.int64()), pa.array([r[0] for r in part], pa.int64()), pa.array(start + np.cumsum([0, *map(len, ids[:-1])])), pa.array([narrow(x) for x in ids], pa.binary())], names=["part", "at", "doc_id", "start", "ids"])
-                start += sum(map(len, ids))
+            doc_ids, rows = batch.column("doc_id"), texts(batch)
+            for a, b in runs(rows):
+                ids = encoded(t, rows[a:b], end_id)
+                ends = np.cumsum([len(x) for x in ids])
+                yield pa.RecordBatch.from_arrays([pa.array([part] * (b - a), pa.int32()), pa.array(range(at, at + b - a), pa.int64()), doc_ids[a:b], pa.array(start + ends - [len(x) for x in ids]), pa.array([narrow(x) for x in ids], pa.binary())], names=["part", "at", "doc_id", "start", "ids"])
+                at += b - a
+                start += int(ends[-1])
+
+    def runs(rows: list[bytes]) -> Iterator[tuple[int, int]]:
+        """Slices of rows of about PIECE bytes, 256 rows at most."""
+        first = size = 0
+        for i, x in enumerate(rows):
+            if i > first and (size + len(x) > PIECE or i - first == 256):
+                yield first, i
+                first = i
+                size = 0
+            size += len(x)
+        if rows:
+            yield first, len(rows)
 
     def narrow(ids: np.ndarray) -> bytes:
         return ids.astype("<u2" if small else "<u4").tobytes()
@@ -158,11 +202,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     def widen(ids: bytes) -> np.ndarray:
         return np.frombuffer(ids, "<u2" if small else "<u4").astype(np.int64)
 
-    size = max(encoder(tokenizer_path, WordSplitter).library.get_vocab_size(), end_id + 1)
+    size = max(library(tokenizer_path).get_vocab_size(), end_id + 1)
     small = size <= 1 << 16
     kept = scratch(spark, "ids")
-    dealt = map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text)), deal, "bucket int, blob binary").repartitionById(len(borders) + 1, F.col("bucket"))
-    map_arrow(dealt, encode, "part int, at long, doc_id long, start long, ids binary").write.option("compression", "zstd").parquet(kept)
+    map_arrow(ranged, encode, "part int, at long, doc_id long, start long, ids binary").write.option("compression", "zstd").parquet(kept)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
@@ -200,7 +243,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
             yield flush()
 
     file_schema = to_arrow_schema(_parse_datatype_string(FILE_SCHEMA))
-    # a split of the kept table is a run of a bucket's rows in order, so no shuffle
+    # a split of the kept table is a run of a part's rows in order, so no shuffle
     map_arrow(spark.read.parquet(kept), code, FILE_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
     remove(spark, kept)
 
