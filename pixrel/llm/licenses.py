@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixrel.llm.common import LOWER, map_arrow, saved, texts
+from pixrel.llm.common import LOWER, map_arrow, saved, small_join, texts
 
 #: Notices by SPDX identifier: fixed values, as the licences' own texts word them.
 TEMPLATES = {
@@ -55,16 +56,27 @@ def spdx(text: bytes, names: set[str]) -> str:
     return ""
 
 
+#: Slots of the table of document frequencies, a number each: 8 MB, whatever the input. Terms that share a slot count
+#: together, so that a term never weighs more than its own frequency allows; CHUNKS is the pieces it is summed in.
+SLOTS, CHUNKS = 1 << 20, 32
+
+
+def slots(words: list[bytes]) -> np.ndarray:
+    """Slot of each term."""
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & (SLOTS - 1)
+
+
 class Matcher:
-    """Cosine of passages to templates; terms outside the templates weigh as the rarest."""
+    """Cosine of passages to templates. All terms weigh by the corpus: frequency holds the documents of each slot."""
 
-    def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], n_docs: int) -> None:
+    def __init__(self, templates: list[tuple[str, str]], frequency: np.ndarray, n_docs: int) -> None:
+        self.table = np.log((1 + n_docs) / (1 + np.minimum(frequency, n_docs))) + 1
         counts = [Counter(terms(t.encode())) for _, t in templates]
         self.names = [name for name, _ in templates]
         self.known = set(self.names)
         self.length = [sum(c.values()) for c in counts]
-        self.idf = {w: math.log((1 + n_docs) / (1 + frequency.get(w, 0))) + 1 for c in counts for w in c}
-        self.rare = math.log(1 + n_docs) + 1
+        every = sorted({w for c in counts for w in c})
+        self.idf = dict(zip(every, self.table[slots(every)].tolist(), strict=True))
         self.vocabulary = frozenset(self.idf)
         self.weights: list[dict[bytes, float]] = []
         self.postings: dict[bytes, list[tuple[int, float]]] = {}
@@ -94,7 +106,7 @@ class Matcher:
             return 0.0, "", 0
         ids: dict[bytes, int] = {}
         at = np.array([ids.setdefault(w, len(ids)) for w in words])
-        idf = np.array([self.idf.get(w, self.rare) for w in ids])
+        idf = self.table[slots(list(ids))]
         ends = np.cumsum([len(x) for x in lines])
         spans = [(int(e) - len(x), int(e)) for e, x in zip(ends, lines, strict=True) if x]
         square = np.concatenate([[0.0], np.cumsum((idf * idf)[at])])
@@ -128,25 +140,46 @@ def scan(docs: DataFrame, path: Column, text: str = "text", id_col: str = "doc_i
     against the templates, notices as well as whole licences; the best at COSINE or more is the text's own licence.
     Texts that consist of licence passages by FILE_PERCENT of their words are licence files, and speak for their directory
     (the most frequent licence of its files, then the first by name). Texts without a licence of their own inherit
-    that of the nearest ancestor directory that has one. Null texts have no line; null paths lie in no directory.
+    that of the nearest ancestor directory that has one. Terms weigh by the documents that hold them, of all rows. Null
+    and empty texts have no line; null paths lie in no directory. Repeated rows and ids are files of their own, each with
+    a vote; an empty table gives no row; other columns are not read. A text is matched whole, in one task.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.col(text).alias("text"))
     flat = [(name, t) for x in (templates, FULL) for name, y in sorted(x.items()) if name in templates for t in y]
-    vocabulary = frozenset(w for _, t in flat for w in terms(t.encode()))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[bytes] = Counter()
+        count, n, known = np.zeros(SLOTS, np.int64), 0, {}
         for batch in batches:
             for t in texts(batch):
-                count[b""] += 1
-                count.update(vocabulary.intersection(terms(t)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["term", "n"])
-
-    # a row for each term of the templates at most
-    found = {bytes(r[0]): r[1] for r in map_arrow(d.select("text"), frequencies, "term binary, n long").groupBy("term").agg(F.sum("n")).collect()}
-    matcher = Matcher(flat, found, found.get(b"", 0))
+                n += 1
+                found = [known[w] if w in known else known.setdefault(w, zlib.crc32(w) & (SLOTS - 1)) for w in set(terms(t))]
+                count[found] += 1  # a slot once a document
+                if len(known) > 500_000:
+                    known.clear()
+        size = SLOTS // CHUNKS
+        blobs = [zlib.compress(count[i * size : (i + 1) * size].tobytes(), 1) for i in range(CHUNKS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(blobs, pa.binary()), pa.array([n, *[0] * (CHUNKS - 1)], pa.int64())], names=["chunk", "counts", "n"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        n: Counter[int] = Counter()
+        for batch in batches:
+            for chunk, raw, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = np.frombuffer(zlib.decompress(raw), np.int64)
+                total[chunk] = total[chunk] + part if chunk in total else part
+                n[chunk] += k
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary()), pa.array([n[c] for c in total], pa.int64())], names=["chunk", "counts", "n"])
+
+    # SLOTS numbers, whatever the input
+    pieces = map_arrow(map_arrow(d.select("text"), frequencies, "chunk int, counts binary, n long").repartitionById(CHUNKS, F.col("chunk")), summed, "chunk int, counts binary, n long").collect()
+    frequency = np.zeros(SLOTS, np.int64)
+    for r in pieces:
+        frequency[r["chunk"] * (SLOTS // CHUNKS) : (r["chunk"] + 1) * (SLOTS // CHUNKS)] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    sent = d.sparkSession.sparkContext.broadcast(Matcher(flat, frequency, sum(r["n"] for r in pieces)))
+    del frequency, pieces
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = sent.value
         for batch in batches:
             out = []
             for t in texts(batch):
@@ -168,6 +201,6 @@ def scan(docs: DataFrame, path: Column, text: str = "text", id_col: str = "doc_i
     parts = F.split("dir", "/")
     above = m.select("dir").distinct().filter("dir is not null").withColumn("from_dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/")))).distinct()
     near = above.join(speaks, "from_dir").groupBy("dir").agg(F.max_by(F.struct("from_dir", "inherited"), F.length("from_dir")).alias("near")).select("dir", "near.*")
-    j = m.join(near, "dir", "left")
+    j = small_join(m, saved(near, "near"), ["dir"], "left")
     how = F.when(F.col("own").isNotNull(), "header").when(F.col("inherited").isNotNull(), "inherited").otherwise("none")
     return j.select("doc_id", "path", F.coalesce("own", "inherited").alias("license"), "score", how.alias("how"), F.when(F.col("own").isNull(), F.col("from_dir")).alias("from_dir"))
