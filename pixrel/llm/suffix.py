@@ -99,7 +99,7 @@ def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.nda
         word = (word << np.uint64(8 * k)) | np.where((word & np.uint64(0xFF)) != 0, ahead(word, k), np.uint64(0))
     key, h = word, 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
@@ -112,7 +112,7 @@ def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.nda
             key, h = (r << np.uint64(42)) | (second << np.uint64(21)) | third, 3 * h
         else:
             key, h = (r << np.uint64(32)) | second, 2 * h
-    sa = order
+    sa = np.argsort((rank.astype(np.uint64) << np.uint64(32)) | np.arange(n, dtype=np.uint64))  # equals by position
     bwt = np.where(sa > 0, b[np.maximum(sa - 1, 0)], 0).astype(np.uint8)
     by_letter = np.argsort(bwt, kind="stable")
     lf = np.empty(n, np.int64)
@@ -135,15 +135,18 @@ def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.nda
         lcp[live[over]] = done + np.minimum(equal[over], ended[over])
         live, done = live[~over], done + 8
     # expansion: boundaries of one value give those of the next by stepping backward with each letter of the interval before them
-    front, value = np.flatnonzero(lcp == done - 1), done
+    front, value, unset = np.flatnonzero(lcp == done - 1), done, np.flatnonzero(lcp < 0)
     while len(live) and value < length:
         if len(front):
-            unset = np.flatnonzero(lcp < 0)
-            starts = np.concatenate([[True], np.diff(unset) != 1]) if len(unset) else np.empty(0, bool)
-            run = unset[np.flatnonzero(starts)][np.cumsum(starts) - 1] if len(unset) else unset
+            unset = unset[lcp[unset] < 0]
+            if not len(unset):
+                break
+            # the first row of the interval that ends at each boundary of the front: before the run of unset ones that ends there
+            breaks = np.flatnonzero(np.diff(unset) != 1) + 1
             at = np.searchsorted(unset, front) - 1
-            inside = (at >= 0) & (unset[np.maximum(at, 0)] == front - 1) if len(unset) else np.zeros(len(front), bool)
-            low = np.where(inside, run[np.maximum(at, 0)] - 1 if len(unset) else 0, front - 1)
+            inside = (at >= 0) & (unset[np.maximum(at, 0)] == front - 1)
+            first = unset[np.concatenate([[0], breaks])[np.searchsorted(breaks, at, "right")]]
+            low = np.where(inside, first - 1, front - 1)
             size = front - low
             rows = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
             last = (after[rows] >= np.repeat(front, size)) & (bwt[rows] != 0)
@@ -157,7 +160,8 @@ def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.nda
     hit = np.zeros(n, bool)
     hit[sa[again]] = True
     begin = term - sizes
-    return [np.flatnonzero(hit[s : s + z]) for s, z in zip(begin, sizes, strict=True)]
+    every = np.flatnonzero(hit)
+    return [every[a:b] - s for a, b, s in zip(np.searchsorted(every, begin).tolist(), np.searchsorted(every, term).tolist(), begin.tolist(), strict=True)]
 
 
 Item = tuple[int, int, bytes]
@@ -497,7 +501,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             nonlocal chunk, size
             rows = [(lead, seg, spots, len(spots) > 1 or bool(more)) for (lead, seg), (spots, more) in group.items()]
             own = sum(len(r[1]) for r in rows)
-            if len(rows) == 1 or not any(r[2] for r in rows):
+            if len(rows) == 1 or all(r[3] for r in rows if r[2]):  # nothing to find out
                 for _, seg, spots, twice in rows:
                     emit(seg, spots, np.arange(len(seg) - length + 1) if twice else np.empty(0, np.int64))
             elif own > CHUNK:
