@@ -77,7 +77,7 @@ def relationships(pairs: DataFrame, entities: DataFrame, width: int, height: int
     kinds = F.array_compact(F.array(F.when(F.col("adjacent"), "adjacent"), F.when(nd <= 0.22, "near"), F.when(F.col("colorSimilarity") >= 0.82, "similar_color"), F.when(F.col("shapeSimilarity") >= 0.80, "similar_shape")))
     e = e.withColumn("kinds", F.when(F.size(kinds) == 0, F.array(F.lit("related"))).otherwise(kinds))
     out = ["dx", "dy", "distance", "normalizedDistance", "angle", "areaRatio", "logAreaRatio", "brightnessDifference", "logBrightnessRatio", "colorDistance", "colorSimilarity", "shapeSimilarity", "textureSimilarity", "gradientSimilarity", "boundaryContactRatio", "affinity", "mergeAffinity", "confidence"]
-    return e.select(group, "a", "b", "sources", "kinds", F.col("kinds")[0].alias("primary"), "adjacent", *(F.round(c, 8).alias(c) for c in out))
+    return e.select(group, "a", "b", "sources", "kinds", F.col("kinds")[0].alias("primary"), "adjacent", *(F.bround(c, 8).alias(c) for c in out))
 
 
 def filter_edges(edges: DataFrame, types: list[str], adjacent_only: bool, min_confidence: float, max_distance: float) -> DataFrame:

@@ -15,11 +15,16 @@ KEY = ["image_id", "label"]
 FIELDS = ("red", "green", "blue", "lightness", "lab_l", "lab_a", "lab_b", "gradient_magnitude", "edge_strength", "local_variance", "local_entropy", "complexity")
 
 
-def grid_labels(p: DataFrame, width: int, height: int, target: int) -> DataFrame:
-    """Adds label: about target rectangular cells, numbered from 1 in reading order."""
-    target = max(2, min(target, width * height))
+def grid_shape(width: int, height: int, target: int) -> tuple[int, int]:
+    """Rows and columns of about target cells, as square as the image allows; 2 cells at least, a pixel each at most."""
+    target = min(max(target, 2), width * height)
     rows = max(1, round(math.sqrt(target * height / max(width, 1))))
-    cols = max(1, math.ceil(target / rows))
+    return rows, -(-target // rows)
+
+
+def grid_labels(p: DataFrame, width: int, height: int, target: int) -> DataFrame:
+    """Adds label: cells of grid_shape, numbered from 1 in reading order."""
+    rows, cols = grid_shape(width, height, target)
     cell = F.least(F.expr(f"y * {rows} div {height}"), F.lit(rows - 1)) * cols + F.least(F.expr(f"x * {cols} div {width}"), F.lit(cols - 1))
     return p.withColumn("label", (cell + 1).cast("int"))
 

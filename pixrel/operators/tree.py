@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixrel.operators.segmentation import components
 from pixrel.plans.shared import saved
 
 
@@ -83,91 +84,133 @@ def _perimeter(mask: np.ndarray) -> float:
     return float(weight[code[code > 0]].sum())
 
 
-def merge_tree(pixels: DataFrame, config: dict) -> DataFrame:
-    """Merge tree of each image: image_id, node, parent, level, leaves, area, delta_j (null for leaves).
+#: What a candidate merge is ruled out by, in the order of the tests, and what ends the sequence: fixed values.
+MAX_AREA, EDGE_BARRIER, NOT_CONNECTED, ENERGY_THRESHOLD = "max_area", "edge_barrier", "not_4_connected", "energy_threshold"
+TREE = "image_id long, node string, parent string, level int, leaves int, area long, delta_j double"
+EVIDENCE = "image_id long, iteration int, source string, target string, accepted boolean, reason string, delta_j double, distortion double, rate double, boundary double, shape double, complexity double"
+TERMS = ("distortion", "rate", "boundary", "shape", "complexity")
+
+
+def _whole(mask: np.ndarray) -> bool:
+    """Whether a mask is one 4-connected area."""
+    return len(np.unique(components(mask.astype(np.int64))[mask])) == 1
 
-    pixels: image_id, y, x, label, edge_strength, lab_l, lab_a, lab_b, complexity. Merging is one sequence inside an
-    image, which its pixel limit bounds, so an image is a group; images run in parallel. A pair's energy depends on
-    the pair alone: it is kept until one of the two merges.
+
+def _grow(rows: pd.DataFrame, config: dict) -> tuple[list[tuple], list[tuple]]:
+    """Rows of TREE and of EVIDENCE for one image, without its id.
+
+    A pair's energy and verdict depend on the pair alone, so they are kept until one of the two merges. Two connected
+    masks that touch make a connected one; only where a leaf lies in several pieces is the union examined.
     """
+    rows = rows.sort_values(["y", "x"])  # sums in one order, so that reruns agree to the last bit
+    h, w = int(rows["y"].max()) + 1, int(rows["x"].max()) + 1
+    at = (rows["y"].to_numpy(), rows["x"].to_numpy())
+    grid, edge = np.zeros((h, w), np.int64), np.zeros((h, w))
+    grid[at], edge[at] = rows["label"], rows["edge_strength"]
+    labels = np.unique(grid)
+    names = [f"region-{k}" for k in labels]
+    fields = rows[["lab_l", "lab_a", "lab_b"]].to_numpy()
+    stat, mask, level, leaves, parent, made, whole = {}, {}, {}, {}, {}, [], {}
+    for name, k in zip(names, labels, strict=True):
+        own = (rows["label"] == k).to_numpy()
+        stat[name] = (int(own.sum()), fields[own].sum(0), (fields[own] ** 2).sum(0), float(rows["complexity"][own].sum()))
+        mask[name], level[name], leaves[name] = grid == k, 1, 1
+        whole[name] = _whole(mask[name])
+    contact: dict[tuple[str, str], list[float]] = {}
+    index = np.searchsorted(labels, grid)
+    for a, b, ea, eb in ((index[:, :-1], index[:, 1:], edge[:, :-1], edge[:, 1:]), (index[:-1], index[1:], edge[:-1], edge[1:])):
+        cut = a != b
+        for i, j, x, y in zip(a[cut], b[cut], ea[cut], eb[cut], strict=True):
+            c = contact.setdefault(tuple(sorted((names[i], names[j]))), [0.0, 0])
+            c[0] += x + y
+            c[1] += 2
+    compact = lambda m, n: 4 * math.pi * n / max(_perimeter(m) ** 2, 1e-9)
+    shape = {n: compact(mask[n], stat[n][0]) for n in names}
+    spread = lambda s: float(np.maximum(s[2] / s[0] - (s[1] / s[0]) ** 2, 0).sum() / (100.0**2 + 128.0**2 + 128.0**2))
     weights = config["mergeEnergyWeights"]
 
-    def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y", "x"])  # sums in one order, so that reruns agree to the last bit
-        h, w = int(rows["y"].max()) + 1, int(rows["x"].max()) + 1
-        grid = np.zeros((h, w), np.int64)
-        at = (rows["y"].to_numpy(), rows["x"].to_numpy())
-        grid[at] = rows["label"]
-        edge = np.zeros((h, w))
-        edge[at] = rows["edge_strength"]
-        labels = np.unique(grid)
-        names = [f"region-{k}" for k in labels]
-        fields = rows[["lab_l", "lab_a", "lab_b"]].to_numpy()
-        stat, mask, level, leaves, parent, made = {}, {}, {}, {}, {}, []
-        for name, k in zip(names, labels, strict=True):
-            own = (rows["label"] == k).to_numpy()
-            stat[name] = (int(own.sum()), fields[own].sum(0), (fields[own] ** 2).sum(0), float(rows["complexity"][own].sum()))
-            mask[name], level[name], leaves[name] = grid == k, 1, 1
-        contact: dict[tuple[str, str], list[float]] = {}
-        index = np.searchsorted(labels, grid)
-        for a, b, ea, eb in ((index[:, :-1], index[:, 1:], edge[:, :-1], edge[:, 1:]), (index[:-1], index[1:], edge[:-1], edge[1:])):
-            cut = a != b
-            for i, j, x, y in zip(a[cut], b[cut], ea[cut], eb[cut], strict=True):
-                c = contact.setdefault(tuple(sorted((names[i], names[j]))), [0.0, 0])
-                c[0] += x + y
-                c[1] += 2
-        compact = lambda m, n: 4 * math.pi * n / max(_perimeter(m) ** 2, 1e-9)
-        shape = {n: compact(mask[n], stat[n][0]) for n in names}
-        spread = lambda s: float(np.maximum(s[2] / s[0] - (s[1] / s[0]) ** 2, 0).sum() / (100.0**2 + 128.0**2 + 128.0**2))
-
-        def energy(a: str, b: str) -> float | None:
-            sa, sb = stat[a], stat[b]
-            n = sa[0] + sb[0]
-            touch = contact[a, b][0] / contact[a, b][1]
-            if n > h * w * config["maxEntityAreaFraction"] or touch > config["edgeBarrierThreshold"]:
-                return None
-            u = tuple(x + y for x, y in zip(sa, sb, strict=True))
-            mix = lambda x, y: (sa[0] * x + sb[0] * y) / n
-            return (
-                weights["distortion"] * (spread(u) - mix(spread(sa), spread(sb))) - weights["rate"] / (h * w) + weights["boundary"] * touch
-                + weights["shape"] * max(0.0, mix(shape[a], shape[b]) - compact(mask[a] | mask[b], n)) + weights["complexity"] * max(0.0, u[3] / n - mix(sa[3] / sa[0], sb[3] / sb[0]))
-            )
-
-        known = {p: energy(*p) for p in contact}
-        active = set(names)
-        for _ in range(config["maxAgglomerationIterations"]):
-            open_pairs = [(e, *p) for p, e in known.items() if e is not None]
-            if len(active) < 2 or not open_pairs:
-                break
-            best, a, b = min(open_pairs)
-            if best > config["mergeEnergyThreshold"]:
-                break
-            depth = max(level[a], level[b]) + 1
-            node = stable_id([a, b], depth)
-            stat[node], mask[node] = tuple(x + y for x, y in zip(stat[a], stat[b], strict=True)), mask[a] | mask[b]
-            shape[node], level[node], leaves[node] = compact(mask[node], stat[node][0]), depth, leaves[a] + leaves[b]
-            parent[a] = parent[b] = node
-            active -= {a, b}
-            active.add(node)
-            made.append((node, best))
-            joined: dict[str, list[float]] = {}
-            for p in [p for p in contact if a in p or b in p]:
-                c = contact.pop(p)
-                known.pop(p)
-                other = p[0] if p[1] in (a, b) else p[1]
-                if other not in (a, b):
-                    g = joined.setdefault(other, [0.0, 0])
-                    g[0], g[1] = g[0] + c[0], g[1] + c[1]
-            for other, c in joined.items():
-                p = tuple(sorted((node, other)))
-                contact[p] = c
-                known[p] = energy(*p)
-        delta = dict(made)
-        out = [(int(rows["image_id"].iloc[0]), n, parent.get(n), level[n], leaves[n], stat[n][0], delta.get(n)) for n in [*names, *(n for n, _ in made)]]
-        return pd.DataFrame(out, columns=["image_id", "node", "parent", "level", "leaves", "area", "delta_j"])
+    def verdict(a: str, b: str) -> tuple[str | None, float, tuple[float, ...]]:
+        """Reason against the merge, or its energy and terms."""
+        sa, sb = stat[a], stat[b]
+        n = sa[0] + sb[0]
+        touch = contact[a, b][0] / contact[a, b][1]
+        if n > h * w * config["maxEntityAreaFraction"]:
+            return MAX_AREA, math.inf, ()
+        if touch > config["edgeBarrierThreshold"]:
+            return EDGE_BARRIER, math.inf, ()
+        if not (whole[a] and whole[b]) and not _whole(mask[a] | mask[b]):
+            return NOT_CONNECTED, math.inf, ()
+        u = tuple(x + y for x, y in zip(sa, sb, strict=True))
+        mix = lambda x, y: (sa[0] * x + sb[0] * y) / n
+        terms = (spread(u) - mix(spread(sa), spread(sb)), -1.0 / (h * w), touch, max(0.0, mix(shape[a], shape[b]) - compact(mask[a] | mask[b], n)), max(0.0, u[3] / n - mix(sa[3] / sa[0], sb[3] / sb[0])))
+        return None, sum(weights[k] * v for k, v in zip(TERMS, terms, strict=True)), terms
+
+    known = {p: verdict(*p) for p in contact}
+    active, events = set(names), []
+    blank = (None,) * len(TERMS)
+    for iteration in range(1, config["maxAgglomerationIterations"] + 1):
+        if len(active) < 2:
+            break
+        events += [(iteration, *p, False, v[0], None, *blank) for p, v in sorted(known.items()) if v[0]]
+        open_pairs = [(v[1], *p) for p, v in known.items() if not v[0]]
+        if not open_pairs:
+            break
+        best, a, b = min(open_pairs)
+        if best > config["mergeEnergyThreshold"]:
+            events.append((iteration, None, None, False, ENERGY_THRESHOLD, best, *blank))
+            break
+        events.append((iteration, a, b, True, None, best, *known[a, b][2]))
+        depth = max(level[a], level[b]) + 1
+        node = stable_id([a, b], depth)
+        stat[node], mask[node] = tuple(x + y for x, y in zip(stat[a], stat[b], strict=True)), mask[a] | mask[b]
+        shape[node], level[node], leaves[node], whole[node] = compact(mask[node], stat[node][0]), depth, leaves[a] + leaves[b], True
+        parent[a] = parent[b] = node
+        active -= {a, b}
+        active.add(node)
+        made.append((node, best))
+        joined: dict[str, list[float]] = {}
+        for p in [p for p in contact if a in p or b in p]:
+            c = contact.pop(p)
+            known.pop(p)
+            other = p[0] if p[1] in (a, b) else p[1]
+            if other not in (a, b):
+                g = joined.setdefault(other, [0.0, 0])
+                g[0], g[1] = g[0] + c[0], g[1] + c[1]
+        for other, c in joined.items():
+            p = tuple(sorted((node, other)))
+            contact[p] = c
+            known[p] = verdict(*p)
+    delta = dict(made)
+    return [(n, parent.get(n), level[n], leaves[n], stat[n][0], delta.get(n)) for n in [*names, *(n for n, _ in made)]], events
+
+
+def _per_image(pixels: DataFrame, config: dict, which: int, schema: str) -> DataFrame:
+    """Merging is one sequence inside an image, which its pixel limit bounds: an image is a group, images run in parallel."""
+    columns = [f.split()[0] for f in schema.split(", ")]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        image = int(rows["image_id"].iloc[0])
+        return pd.DataFrame([(image, *r) for r in _grow(rows, config)[which]], columns=columns)
 
     need = ["image_id", "y", "x", "label", "edge_strength", "lab_l", "lab_a", "lab_b", "complexity"]
-    return pixels.select(*need).groupBy("image_id").applyInPandas(grow, "image_id long, node string, parent string, level int, leaves int, area long, delta_j double")
+    return pixels.select(*need).groupBy("image_id").applyInPandas(run, schema)
+
+
+def merge_tree(pixels: DataFrame, config: dict) -> DataFrame:
+    """Merge tree of each image: image_id, node, parent, level, leaves, area, delta_j (null for leaves).
+
+    pixels: image_id, y, x, label, edge_strength, lab_l, lab_a, lab_b, complexity.
+    """
+    return _per_image(pixels, config, 0, TREE)
+
+
+def merge_evidence(pixels: DataFrame, config: dict) -> DataFrame:
+    """What happened at each iteration: merges with their energy terms, pairs ruled out with the reason, and the energy that ended it."""
+    return _per_image(pixels, config, 1, EVIDENCE)
+
+
+def accepted_merges(evidence: DataFrame) -> DataFrame:
+    return evidence.groupBy("image_id").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
 
 
 def with_root(tree: DataFrame) -> DataFrame:

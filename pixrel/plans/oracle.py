@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pixrel.functions.color import TO_XYZ, WHITE
+from pixrel.operators.regions import grid_shape
 
 W, H, TARGET, ROWS, COLS = 64, 50, 160, 11, 15
 HW = "window rw as (partition by image_id, y order by x)"
@@ -133,12 +134,24 @@ r4 as (select *, greatest(0.0, least(1.0, 0.35 * ma + 0.30 * adjacent::int + 0.2
   list_filter([case when adjacent then 'adjacent' end, case when nd <= 0.22 then 'near' end, case when cs >= 0.82 then 'similar_color' end, case when ss >= 0.80 then 'similar_shape' end], lambda z: z is not null) kk from r3),
 rel as (select *, case when len(kk) = 0 then ['related'] else kk end kinds from r4)"""
 
-#: Coarse twin of the images by factor 2, and its grid regions.
-CW, CH, CROWS, CCOLS, FACTOR = 32, 25, 6, 7, 2
-COARSE_CELL = f"(least(y * {CROWS} // {CH}, {CROWS - 1}) * {CCOLS} + least(x * {CCOLS} // {CW}, {CCOLS - 1}) + 1)::int label"
-LIFTED = f"""lf as (select f.image_id, f.label source, c.label target, count(*) common from l f join lc c on f.image_id = c.image_id and c.x = f.x * {CW} // {W} and c.y = f.y * {CH} // {H} group by all),
-lp as (select *, sum(common) over (partition by image_id, source)::bigint source_area, sum(common) over (partition by image_id, target)::bigint target_area from lf)"""
-COARSE = f"""{LAB}, l as (select *, {CELL} from f), cg as (select distinct image_id, y // 2 y, x // 2 x from f), lc as (select image_id, y, x, {COARSE_CELL} from cg), {LIFTED}"""
+
+
+def levels(factors: tuple[int, ...] = (2, 4, 8)) -> str:
+    """Grid regions l of the images and lc of each coarse level, and what they share as lp; factor tells the level."""
+    out = [f"{PIX}, l as (select *, {CELL} from p), im as (select distinct image_id from p)"]
+    for k in factors:
+        w, h = max(2, W // k), max(2, H // k)
+        rows, cols = grid_shape(w, h, max(8, TARGET // (k * k)))
+        cell = f"(least(y * {rows} // {h}, {rows - 1}) * {cols} + least(x * {cols} // {w}, {cols - 1}) + 1)::int label"
+        out.append(f"lc{k} as (select {k}::int factor, image_id, y, x, {cell} from im, range({h}) a(y), range({w}) b(x))")
+        out.append(f"lf{k} as (select {k}::int factor, f.image_id, f.label source, c.label target, count(*) common from l f join lc{k} c on f.image_id = c.image_id and c.x = f.x * {w} // {W} and c.y = f.y * {h} // {H} group by all)")
+    every = lambda name: " union all ".join(f"select * from {name}{k}" for k in factors)
+    out += [f"lc as ({every('lc')})", f"lf as ({every('lf')})", "lp as (select *, sum(common) over (partition by factor, image_id, source)::bigint source_area, sum(common) over (partition by factor, image_id, target)::bigint target_area from lf)"]
+    out.append("fs as (select image_id, label, count(*) area, avg(x) cx, avg(y) cy from l group by image_id, label), cs as (select factor, image_id, label, count(*) area, avg(x) cx, avg(y) cy from lc group by factor, image_id, label)")
+    return ", ".join(out)
+
+
+LEVELS_SQL = levels()
 
 RECON = f"""{LABELS}, mn as (select image_id, label, round_even(avg(r), 0)::int rr, round_even(avg(g), 0)::int rg, round_even(avg(b), 0)::int rb from l group by image_id, label),
 rc as (select *, abs(r - rr) + abs(g - rg) + abs(b - rb) error from l join mn using (image_id, label))"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixrel.config import DEFAULTS
+from pixrel.config import DEFAULTS, RESIDUAL_CANDIDATES
 from pixrel.functions import color
 from pixrel.operators import graph, jobs, recon, regions, scales, segmentation, stencil, tree
 from pixrel.plans import oracle as O
@@ -72,17 +72,9 @@ def raster_lineitem(spark, d):
     return rasters.from_lineitem(table(spark, d, "lineitem"))
 
 
-@query("""with g as (select i::bigint image_id, (k // 128)::int y, (k % 128)::int x from range(7) a(i), range(12288) b(k) where i in (1, 4, 6))
-select image_id, y, x, (case image_id when 1 then x * 255 // 127 when 4 then (x // 8 * 37 + y // 8 * 11) % 256 else (case when x < 42 then 210 when x < 86 then 40 else 50 end) + y % 4 end)::int r,
-(case image_id when 1 then y * 255 // 95 when 4 then (x // 8 * 17 + y // 8 * 53) % 256 else (case when x < 42 then 50 when x < 86 then 180 else 80 end) + x % 3 end)::int g,
-(case image_id when 1 then (x + y) * 255 // 222 when 4 then (x // 8 * 71 + y // 8 * 29) % 256 else (case when x < 42 then 40 when x < 86 then 70 else 210 end) + (x + y) % 2 end)::int b from g""")
-def raster_fixtures(spark, d):
-    return rasters.fixtures(spark).filter(F.col("image_id").isin(1, 4, 6))
-
-
 @query()
-def raster_fixtures_all(spark, d):
-    """All seven made images; raster_fixtures and its SQL keep three of them."""
+def raster_fixtures(spark, d):
+    """All seven made images; SQL has no hash like the texture's, so a test holds them against Python."""
     return rasters.fixtures(spark)
 
 
@@ -289,40 +281,11 @@ def containment(spark, d):
 
 
 # --- scales --------------------------------------------------------------------------------------------------------
-def coarse(p: DataFrame) -> DataFrame:
-    return regions.grid_labels(p, O.CW, O.CH, 40)
-
-
-def lifted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    p = pixels(spark, d)
-    f, c = labelled(stencil.base_fields(p)), coarse(stencil.base_fields(rasters.downscale(p, 2, W, H)))
-    return f, c, scales.lifted_pairs(f, c, W, H, O.CW, O.CH)
-
-
-LINKS = "select image_id, source, target, round(common / source_area, 8) fc, round(common / (source_area + target_area - common), 8) io from lp where common / source_area >= 0.2"
-
-
-@query(f"{O.COARSE} select image_id, source, target, fc finecoverage, io overlapiou from ({LINKS})")
-def scale_overlap(spark, d):
-    return scales.overlap_links(lifted(spark, d)[2], 0.2).withColumnsRenamed({"fineCoverage": "finecoverage", "overlapIoU": "overlapiou"})
-
-
-@query(f"{O.COARSE}, k as ({LINKS}) select image_id, source, round(sum(fc), 6) coveragesum, round(greatest(0, 1 - sum(fc)), 6) + 0.0 uncovered, string_agg(target::varchar, ',' order by target) targets from k group by image_id, source")
-def overlap_matrix(spark, d):
-    m = scales.overlap_matrix(scales.overlap_links(lifted(spark, d)[2], 0.2))
-    return m.select("image_id", "source", F.round("coverageSum", 6).alias("coveragesum"), (F.round("uncoveredFraction", 6) + 0.0).alias("uncovered"), F.array_join(F.transform("entries", lambda e: e["target"].cast("string")), ",").alias("targets"))
-
-
 def side(p: DataFrame) -> DataFrame:
     """Geometry and mean colour of each region."""
     return regions.geometry(p).join(p.groupBy(*regions.KEY).agg(*(F.avg(n).alias(n) for n in ("lab_l", "lab_a", "lab_b"))), regions.KEY)
 
 
-def scale_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    f, c, pairs = lifted(spark, d)
-    return side(f), side(c), pairs
-
-
 def levels(spark: SparkSession, d: str, run: Callable[[DataFrame, DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
     """run(fine, coarse, pairs, factor) of the native regions and each coarse level of scaleLevels, with factor as a key.
 
@@ -339,42 +302,33 @@ def levels(spark: SparkSession, d: str, run: Callable[[DataFrame, DataFrame, Dat
     return out
 
 
-@query()
-def scale_overlap_levels(spark, d):
-    """scale_overlap, whose SQL states factor 2, at every level."""
-    return levels(spark, d, lambda f, c, pairs, k: scales.overlap_links(pairs, DEFAULTS["crossScaleOverlapThreshold"]))
-
-
-@query()
-def overlap_matrix_levels(spark, d):
-    return levels(spark, d, lambda f, c, pairs, k: scales.overlap_matrix(scales.overlap_links(pairs, DEFAULTS["crossScaleOverlapThreshold"])))
+LINKS = "select factor, image_id, source, target, round(common / source_area, 8) fc, round(common / (source_area + target_area - common), 8) io from lp where common / source_area >= 0.2"
 
 
-@query()
-def match_cost_levels(spark, d):
-    return levels(spark, d, lambda f, c, pairs, k: scales.match_costs(pairs, side(f), side(c), k, DIAGONAL))
+@query(f"with {O.LEVELS_SQL.removeprefix('with ')} select factor, image_id, source, target, fc finecoverage, io overlapiou from ({LINKS})")
+def scale_overlap(spark, d):
+    links = levels(spark, d, lambda f, c, pairs, k: scales.overlap_links(pairs, DEFAULTS["crossScaleOverlapThreshold"]))
+    return links.withColumnsRenamed({"fineCoverage": "finecoverage", "overlapIoU": "overlapiou"})
 
 
-@query()
-def nearest_parent_levels(spark, d):
-    return levels(spark, d, lambda f, c, pairs, k: scales.nearest_parent(side(f), side(c), k))
+@query(f"with {O.LEVELS_SQL.removeprefix('with ')}, k as ({LINKS}) select factor, image_id, source, round(sum(fc), 6) coveragesum, round(greatest(0, 1 - sum(fc)), 6) + 0.0 uncovered, string_agg(target::varchar, ',' order by target) targets from k group by factor, image_id, source")
+def overlap_matrix(spark, d):
+    m = levels(spark, d, lambda f, c, pairs, k: scales.overlap_matrix(scales.overlap_links(pairs, DEFAULTS["crossScaleOverlapThreshold"])))
+    return m.select("factor", "image_id", "source", F.round("coverageSum", 6).alias("coveragesum"), (F.round("uncoveredFraction", 6) + 0.0).alias("uncovered"), F.array_join(F.transform("entries", lambda e: e["target"].cast("string")), ",").alias("targets"))
 
 
-SIDES = f"""{O.COARSE}, dn as (select image_id, y // 2 y, x // 2 x, floor((2 * sum(r) + 4) / 8.0)::int r, floor((2 * sum(g) + 4) / 8.0)::int g, floor((2 * sum(b) + 4) / 8.0)::int b from p group by image_id, y // 2, x // 2),
-fs as (select image_id, label, count(*) area, avg(x) cx, avg(y) cy from l group by image_id, label), cs as (select image_id, label, count(*) area, avg(x) cx, avg(y) cy from lc group by image_id, label)"""
+FAR = "(f.cx - c.cx * c.factor) * (f.cx - c.cx * c.factor) + (f.cy - c.cy * c.factor) * (f.cy - c.cy * c.factor)"
 
 
-@query(f"{SIDES} select f.image_id, f.label source, c.label target, round(coalesce(common, 0) / (f.area + ta.target_area - coalesce(common, 0)), 6) iou, round(sqrt((f.cx - c.cx * 2) * (f.cx - c.cx * 2) + (f.cy - c.cy * 2) * (f.cy - c.cy * 2)) / {DIAGONAL!r}, 6) centroiddistance, round(abs(ln((f.area + 1e-9) / ta.target_area)), 6) logareadifference from fs f join cs c using (image_id) join (select distinct image_id, target, target_area from lp) ta on ta.image_id = f.image_id and ta.target = c.label left join lp on lp.image_id = f.image_id and lp.source = f.label and lp.target = c.label")
+@query(f"with {O.LEVELS_SQL.removeprefix('with ')}, ta as (select distinct factor, image_id, target, target_area from lp) select c.factor, f.image_id, f.label source, c.label target, round(coalesce(common, 0) / (f.area + ta.target_area - coalesce(common, 0)), 6) iou, round(sqrt({FAR}) / {DIAGONAL!r}, 6) centroiddistance, round(abs(ln((f.area + 1e-9) / ta.target_area)), 6) logareadifference from fs f join cs c using (image_id) join ta on ta.factor = c.factor and ta.image_id = f.image_id and ta.target = c.label left join lp on lp.factor = c.factor and lp.image_id = f.image_id and lp.source = f.label and lp.target = c.label")
 def match_cost(spark, d):
-    f, c, pairs = scale_sides(spark, d)
-    m = scales.match_costs(pairs, f, c, 2, DIAGONAL)
-    return m.select("image_id", "source", "target", F.round("iou", 6).alias("iou"), F.round("centroidDistance", 6).alias("centroiddistance"), F.round("logAreaDifference", 6).alias("logareadifference"))
+    m = levels(spark, d, lambda f, c, pairs, k: scales.match_costs(pairs, side(f), side(c), k, DIAGONAL))
+    return m.select("factor", "image_id", "source", "target", F.round("iou", 6).alias("iou"), F.round("centroidDistance", 6).alias("centroiddistance"), F.round("logAreaDifference", 6).alias("logareadifference"))
 
 
-@query(f"{SIDES}, q as (select f.image_id, f.label source, c.label target, round((f.cx - c.cx * 2) * (f.cx - c.cx * 2) + (f.cy - c.cy * 2) * (f.cy - c.cy * 2), 9) d2 from fs f join cs c using (image_id)) select image_id, source, target, round(d2, 6) d2 from q qualify row_number() over (partition by image_id, source order by d2, target) = 1")
+@query(f"with {O.LEVELS_SQL.removeprefix('with ')}, q as (select c.factor, f.image_id, f.label source, c.label target, round({FAR}, 9) d2 from fs f join cs c using (image_id)) select factor, image_id, source, target, round(d2, 6) d2 from q qualify row_number() over (partition by factor, image_id, source order by d2, target) = 1")
 def nearest_parent(spark, d):
-    f, c, _ = scale_sides(spark, d)
-    return rounded(scales.nearest_parent(f, c, 2), "d2")
+    return rounded(levels(spark, d, lambda f, c, pairs, k: scales.nearest_parent(side(f), side(c), k)), "d2")
 
 
 @query()
@@ -510,14 +464,8 @@ def derived_cut(spark, d):
     return tree.derived_cut(heap_tree(spark, d), 0.25)
 
 
-@query(f"{HEAP}, up as (select image_id, node, parent ancestor, 1 distance from t where parent is not null union all select up.image_id, up.node, t.parent, up.distance + 1 from up join t on t.node = up.ancestor where t.parent is not null) select image_id, node, ancestor, distance from up where node in ('7', '100', '1999')")
-def parent_chain(spark, d):
-    return tree.parent_chains(heap_tree(spark, d)).filter(F.col("node").isin("7", "100", "1999"))
-
-
 @query(f"{HEAP}, up as (select image_id, node, parent ancestor, 1 distance from t where parent is not null union all select up.image_id, up.node, t.parent, up.distance + 1 from up join t on t.node = up.ancestor where t.parent is not null) select image_id, node, ancestor, distance from up")
-def parent_chain_all(spark, d):
-    """The chains of every node; parent_chain and its SQL keep three nodes."""
+def parent_chain(spark, d):
     return tree.parent_chains(heap_tree(spark, d))
 
 
@@ -623,7 +571,7 @@ def analysed(p: DataFrame, config: dict) -> DataFrame:
     fits = saved(recon.model_fits(l))
     chosen = recon.select_models(fits, recon.boundary_residual(recon.predict(l, fits)), config["modelPenalty"], config["boundaryLeakagePenalty"])
     surface, step = saved(recon.paint(recon.predict(l, chosen))), config["residualQuantization"]
-    top = saved(recon.top_residuals(recon.residual_candidates(surface, step), config["maxResidualCandidatePixels"]))
+    top = saved(recon.top_residuals(recon.residual_candidates(surface, step), RESIDUAL_CANDIDATES))
     fit = saved(recon.residual_within_budget(top, W, H, step, config["residualBudgetBytes"]).select("image_id", "kept", "bytes"))
     full = saved(recon.apply_residual(surface, top.join(fit, "image_id").filter("rank <= kept"), step))
     out = grown.join(links, "image_id", "left").join(recon.fidelity(full), "image_id").join(recon.ssim(full, W, H), "image_id").join(fit, "image_id", "left")
@@ -657,8 +605,13 @@ def running_percent(spark, d):
     return jobs.running_percent(progress(spark, d)).select("job", "seq", "stage", "percent", "shown")
 
 
-@query(f"""{O.JOBS}, m as (select *, left(trim(regexp_replace(message, '\\s+', ' ', 'g')), 280) txt, min(now_ms) over (partition by job, stage) st from pr), o as (select * from m qualify row_number() over (partition by job, stage, txt order by now_ms, seq) = 1), k as (select *, row_number() over (partition by job, stage order by now_ms desc, seq desc) back from o)
-select job, stage, upper(stage[1]) || stage[2:] "label", txt "text", now_ms - st offset_ms, back::int back from k where back <= 8""")
+KEPT = f"""{O.ISLANDS.replace('with pr', 'with recursive pr')}, m as (select job, island, stage, now_ms, seq, left(trim(regexp_replace(message, '\\s+', ' ', 'g')), 280) txt, row_number() over (partition by job, island order by now_ms, seq) k from i1),
+kp as (select job, island, stage, k, now_ms st, [struct_pack(t := txt, n := now_ms)] kept from m where k = 1 union all
+  select m.job, m.island, m.stage, m.k, st, case when txt = '' or list_contains(list_transform(kept, lambda z: z.t), txt) then kept else list_slice(list_append(kept, struct_pack(t := txt, n := now_ms)), -8, -1) end from kp join m on m.job = kp.job and m.island = kp.island and m.k = kp.k + 1),
+fin as (select * from kp qualify row_number() over (partition by job, island order by k desc) = 1)"""
+
+
+@query(f"{KEPT} select job, island, stage, place::int place, kept[place].t \"text\", kept[place].n - st offset_ms, upper(stage[1]) || stage[2:] \"label\" from (select *, unnest(range(1, len(kept) + 1)) place from fin)")
 def stage_messages(spark, d):
     return jobs.stage_messages(progress(spark, d))
 
@@ -682,32 +635,38 @@ def watchdog(spark, d):
     return jobs.silences(progress(spark, d), 180_000_000, 90_000_000)
 
 
-JOBROWS = "j as (select event_id job, (event_id % 4)::int variants, case when event_id % 3 = 0 then 'hierarchy' else 'features' end stage, floor(value * 1000)::bigint elapsed, (event_id % 20) * 1000 age from events)"
+JOBROWS = "j as (select event_id job, (event_id % 4)::int variants, case when event_id % 3 = 0 then 'merge_tree' else 'segmentation' end stage, floor(value * 1000)::bigint elapsed, (event_id % 20) * 1000 age from events)"
 
 
 def job_rows(spark: SparkSession, d: str) -> DataFrame:
     e, k = table(spark, d, "events"), F.col("event_id")
-    return e.select(k.alias("job"), (k % 4).cast("int").alias("variants"), F.when(k % 3 == 0, "hierarchy").otherwise("features").alias("stage"), F.floor(F.col("value") * 1000).alias("elapsed"), ((k % 20) * 1000).alias("heartbeat_age"))
+    return e.select(k.alias("job"), (k % 4).cast("int").alias("variants"), F.when(k % 3 == 0, "merge_tree").otherwise("segmentation").alias("stage"), F.floor(F.col("value") * 1000).alias("elapsed"), ((k % 20) * 1000).alias("heartbeat_age"))
 
 
-@query(f"with {JOBROWS}, q as (select *, variants = 0 and stage = 'hierarchy' and age <= 10000 may from j), r as (select *, case when variants > 0 then least(420000, 120000 + variants * 60000) when may then least(300000, 120000 + greatest(0, ceil((elapsed - 120000 + 1) / 30000)) * 30000) else 120000 end::bigint allowance from q) select job, allowance, may and elapsed >= 120000 extended, elapsed >= allowance \"over\" from r")
+@query(f"with {JOBROWS}, q as (select *, variants = 0 and stage = 'merge_tree' and age <= 10000 may from j), r as (select *, case when variants > 0 then least(420000, 120000 + variants * 60000) when may then least(300000, 120000 + greatest(0, ceil((elapsed - 120000 + 1) / 30000)) * 30000) else 120000 end::bigint allowance from q) select job, allowance, may and elapsed >= 120000 extended, elapsed >= allowance \"over\" from r")
 def budget_extension(spark, d):
     return jobs.budgets(job_rows(spark, d)).select("job", "allowance", "extended", "over")
 
 
-@query("""with e as (select event_id job, least(99, floor(value / 5)::int) percent, floor(value * 1000)::bigint elapsed, event_id % 3 k, case when event_id % 2 = 0 then value * 1500 end recent from events), v as (select *, case when k = 0 then elapsed / 2 * 3 when recent is not null then greatest(recent - elapsed, 0) when percent >= 5 then elapsed * (100 - percent) / percent end val from e)
-select job, case when k = 0 then 'variants' when recent is not null then 'recent' when percent >= 5 then 'progress' else 'none' end basis, round(val * 0.8)::bigint eta_low, round(val * 1.3)::bigint eta_high from v""")
+@query("""with e as (select event_id job, least(99, floor(value / 5)::int) percent, floor(value * 1000)::bigint elapsed, (event_id % 6)::int variants, case when event_id % 3 = 0 then 'sensitivity' else 'segmentation' end stage, case when event_id % 7 = 0 then 'failed' else 'running' end status, (event_id % 5 + 1)::int cur from events),
+a as (select *, least(420000, 120000 + variants * 60000) - greatest(elapsed, 0) lf from e),
+b as (select *, greatest(lf, 0) left_ms, variants > 0 and status = 'running' and lf > 0 live, greatest(1, least(5, case when job % 2 = 0 then 5 else variants end)) tot from a),
+c as (select *, case when stage = 'sensitivity' then 'sensitivity_variant' when percent >= 10 then 'observed_progress' else 'advanced_budget' end basis, least(left_ms::double, case when stage = 'sensitivity' then greatest(15000, (tot - (case when job % 2 = 0 then greatest(1, least(tot, cur)) else 1 end) + 1) * 60000)::double when percent >= 10 then greatest(15000.0, greatest(elapsed, 0) * ((100 - percent) / greatest(percent, 1))) else greatest(30000, greatest(1, variants) * 60000)::double end) proj from b)
+select job, basis, greatest(5000, least(left_ms, floor(proj * case basis when 'sensitivity_variant' then 0.35 when 'observed_progress' then 0.6 else 0.3 end + 0.5)::bigint)) eta_low, greatest(5000, least(left_ms, floor(proj * case basis when 'sensitivity_variant' then 1.0 when 'observed_progress' then 1.45 else 1.0 end + 0.5)::bigint)) eta_high from c where live""")
 def eta_range(spark, d):
     k = F.col("event_id")
-    j = table(spark, d, "events").select(k.alias("job"), F.least(F.lit(99), F.floor(F.col("value") / 5).cast("int")).alias("percent"), F.floor(F.col("value") * 1000).alias("elapsed"), F.when(k % 3 == 0, "variant 2 of 5").otherwise("working").alias("message"), F.when(k % 2 == 0, F.col("value") * 1500).alias("recent_mean"))
-    return jobs.eta(j).select("job", "basis", "eta_low", "eta_high")
+    named = F.when(k % 2 == 0, F.concat(F.lit("Variant "), (k % 5 + 1).cast("string"), F.lit(" of 5"))).otherwise("working")
+    j = table(spark, d, "events").select(k.alias("job"), F.least(F.lit(99), F.floor(F.col("value") / 5).cast("int")).alias("percent"), F.floor(F.col("value") * 1000).alias("elapsed"), (k % 6).cast("int").alias("variants"), F.when(k % 3 == 0, "sensitivity").otherwise("segmentation").alias("stage"), F.when(k % 7 == 0, "failed").otherwise("running").alias("status"), named.alias("message"))
+    return jobs.eta(j).filter("basis is not null").select("job", "basis", "eta_low", "eta_high")
 
 
-@query("select event_type kind, case event_type when 'click' then 'cancelled' when 'error' then 'time_limit' when 'purchase' then 'silence' when 'signup' then 'input_limit' else 'engine' end category, count(*) n from events group by event_type")
+@query("""with e as (select event_id job, event_type, event_id % 2 = 0 ready, floor(value * 1000)::bigint ended from events), c as (select *, case event_type when 'click' then 'cancelled' when 'error' then 'process_budget' when 'purchase' then case when ready then 'stage_silence' else 'startup_silence' end when 'signup' then 'malformed_completion' else 'unexpected_failure' end category from e)
+select job, category, 'merge_tree' last_safe_stage, ended elapsed_ms, category <> 'unexpected_failure' spawned, category <> 'unexpected_failure' and ready heartbeat, category <> 'unexpected_failure' and ready ready, 'RUN-' || job token from c where category <> 'cancelled'""")
 def failure_receipts(spark, d):
-    e = table(spark, d, "events")
-    text = F.create_map(*(F.lit(x) for kv in {"click": "Cancelled by owner", "error": "Process budget reached", "purchase": "Worker silent for 45 s", "signup": "Image too large", "view": "exit code 1"}.items() for x in kv))
-    return e.select(F.col("event_type").alias("kind"), jobs.failure_receipt(text[F.col("event_type")]).alias("category")).groupBy("kind", "category").agg(F.count(F.lit(1)).alias("n"))
+    outcome = F.create_map(*(F.lit(x) for kv in {"click": "cancelled", "error": "budget", "purchase": "silence", "signup": "malformed", "view": "crash"}.items() for x in kv))
+    k, on = F.col("event_id"), F.col("event_id") % 2 == 0
+    ends = table(spark, d, "events").select(k.alias("job"), outcome[F.col("event_type")].alias("outcome"), F.lit("merge_tree").alias("stage"), F.lit(0).cast("long").alias("created"), F.floor(F.col("value") * 1000).alias("ended"), F.lit(True).alias("spawned"), on.alias("heartbeat"), on.alias("ready"))
+    return jobs.failure_receipts(ends)
 
 
 MAN = "mf as (select o_custkey job, o_orderkey seq, o_custkey % 7 owner, case o_orderstatus when 'F' then 'completed' when 'O' then 'running' else 'failed' end status, epoch_us(o_orderdate) // 1000 updated, epoch_us(o_orderdate) // 1000 + 1800000 expires, o_orderpriority payload from orders)"
@@ -729,9 +688,9 @@ def manifest_revoke(spark, d):
     return jobs.revoke(jobs.latest(manifest(spark, d)), 8, 1, 5).select("job", "owner", "status", "payload", F.col("revoked_at").isNotNull().alias("revoked"))
 
 
-@query(f"with {MAN}, x as (select * from mf qualify row_number() over (partition by job order by updated desc, seq desc) = 1) select * from x where owner = 3 and status = 'completed' and expires > 0 order by updated desc, job limit 20")
+@query(f"with {MAN}, x as (select * from mf qualify row_number() over (partition by job order by updated desc, seq desc) = 1) select * from x where owner = 3 and status = 'completed' and expires > 900000000000 order by updated desc, job limit 20")
 def timing_history(spark, d):
-    return jobs.history(jobs.latest(manifest(spark, d)), 3, 0, 20)
+    return jobs.history(jobs.latest(manifest(spark, d)), 3, 900_000_000_000, 20)
 
 
 STAGES = ("click", "error", "purchase", "signup", "view")

@@ -15,7 +15,7 @@ TERMINAL = ("completed", "failed", "cancelled")
 def job_states(progress: DataFrame) -> DataFrame:
     """A stream of (job, seq, kind, stage, percent, now_ms) to the state after each batch: percent never falls, the end is final.
 
-    kind is update, completed, failed or cancelled.
+    kind is update, completed, failed or cancelled; a run that has ended is in the stage of that name.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -25,7 +25,7 @@ def job_states(progress: DataFrame) -> DataFrame:
                 if status in TERMINAL:
                     break
                 if r.kind in TERMINAL:
-                    status, percent = r.kind, 100 if r.kind == "completed" else percent
+                    status, stage, percent, started = r.kind, r.kind, 100 if r.kind == "completed" else percent, int(r.now_ms)
                     continue
                 status = "running"
                 if r.stage != stage:

@@ -11,7 +11,7 @@ duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 #: Fast ones of each family; the driver runs the rest.
-NAMES = ["raster_embeddings", "raster_lineitem", "upload_preflight", "area_downscale", "gray_hsv", "lab_color", "sobel_edges", "region_statistics", "merged_statistics", "region_geometry", "irregular_shapes", "interior_boundary", "shared_boundary", "knn_spatial", "edge_canonical", "scale_overlap", "nearest_parent", "recon_constant", "mse_psnr", "affine_fit", "residual_topk", "error_heatmap", "derived_cut", "parent_chain", "stage_islands", "admission_window", "in_flight", "manifest_latest", "timing_pivot"]
+NAMES = ["raster_embeddings", "raster_lineitem", "upload_preflight", "area_downscale", "gray_hsv", "lab_color", "sobel_edges", "region_statistics", "merged_statistics", "region_geometry", "irregular_shapes", "interior_boundary", "shared_boundary", "knn_spatial", "edge_canonical", "scale_overlap", "nearest_parent", "recon_constant", "mse_psnr", "affine_fit", "residual_topk", "error_heatmap", "derived_cut", "parent_chain", "stage_islands", "admission_window", "in_flight", "manifest_latest", "timing_pivot", "entity_types", "entity_lookup", "member_pixels", "first_edges", "edge_segments", "mutual_contact", "compatible_documents", "progress_lines", "heartbeats", "formatted", "request_headers", "manifest_upsert", "manifest_access", "cache_accesses", "timing_csv", "stage_messages", "eta_range", "failure_receipts", "scale_gate", "match_cost"]
 
 
 def rows(frame):

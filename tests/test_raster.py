@@ -2,14 +2,15 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pixrel import config
-from pixrel.operators import jobs, recon, regions, scales, segmentation, stencil, tree
-from pixrel.plans import queries
+from pixrel.operators import evidence, jobs, recon, regions, scales, segmentation, stencil, tree
+from pixrel.plans import analysis, queries
 from pixrel.plans.shared import saved
 from pixrel.sources import rasters
 
@@ -141,9 +142,9 @@ def test_downscale_by_overlap_keeps_constant_images(spark):
 
 
 def test_budgets_and_receipts(spark):
-    j = spark.createDataFrame([(1, 0, "hierarchy", 130_000, 5_000), (2, 0, "features", 130_000, 5_000), (3, 2, "features", 1, 0)], "job long, variants int, stage string, elapsed long, heartbeat_age long")
+    j = spark.createDataFrame([(1, 0, "merge_tree", 130_000, 5_000), (2, 0, "segmentation", 130_000, 5_000), (3, 2, "segmentation", 1, 0), (4, 0, "merge_tree", 130_000, 10_001), (5, 9, "sensitivity", 1, 0), (6, 0, "merge_tree", 400_000, 0)], "job long, variants int, stage string, elapsed long, heartbeat_age long")
     got = {r["job"]: (r["allowance"], r["over"]) for r in jobs.budgets(j).collect()}
-    assert got == {1: (150_000, False), 2: (120_000, True), 3: (240_000, False)}
+    assert got == {1: (150_000, False), 2: (120_000, True), 3: (240_000, False), 4: (120_000, True), 5: (420_000, False), 6: (300_000, True)}
 
 
 def xxh64_ints(values):
@@ -162,7 +163,7 @@ def xxh64_ints(values):
 
 
 def test_all_made_images_are_returned(spark):
-    got = queries.QUERIES["raster_fixtures_all"](spark, "")
+    got = queries.QUERIES["raster_fixtures"](spark, "")
     assert {r["image_id"]: r["count"] for r in got.groupBy("image_id").count().collect()} == dict.fromkeys(range(7), 128 * 96)
     texture = {(r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in got.filter("image_id = 5").collect()}
     assert texture == {(y, x): tuple(xxh64_ints((x, y, k)) % 256 for k in range(3)) for y in range(96) for x in range(128)}
@@ -174,7 +175,7 @@ def test_all_made_images_are_returned(spark):
 
 def test_every_node_has_its_chain(spark, tmp_path):
     spark.range(40).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
-    got = sorted(tuple(r) for r in queries.QUERIES["parent_chain_all"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in queries.QUERIES["parent_chain"](spark, str(tmp_path)).collect())
     want = [(0, str(k), str(k >> n), n) for k in range(1, 41) for n in range(1, k.bit_length())]
     assert got == sorted(want)
 
@@ -193,12 +194,10 @@ def test_scale_queries_cover_every_level(spark, tmp_path):
             share = pairs.count((a, b)) / sum(v == a for v, _ in pairs)
             if share >= 0.2:
                 want[factor, 0, a, b] = round(share, 8)
-    got = run("scale_overlap_levels")
-    assert {(x["factor"], x["image_id"], x["source"], x["target"]): x["fineCoverage"] for x in got} == want
-    two = {(x["source"], x["target"]): x["finecoverage"] for x in run("scale_overlap")}
-    assert {k[2:]: v for k, v in want.items() if k[0] == 2} == two
+    got = run("scale_overlap")
+    assert {(x["factor"], x["image_id"], x["source"], x["target"]): x["finecoverage"] for x in got} == want
     costs, matched = {}, set()
-    for x in run("match_cost_levels"):
+    for x in queries.levels(spark, str(tmp_path), lambda f, c, pairs, k: scales.match_costs(pairs, queries.side(f), queries.side(c), k, queries.DIAGONAL)).collect():
         costs.setdefault(x["factor"], {})[x["source"], x["target"]] = x["cost"]
     assert set(costs) == {2, 4, 8}
     for factor, c in costs.items():
@@ -206,7 +205,7 @@ def test_scale_queries_cover_every_level(spark, tmp_path):
         matched |= {(factor, i + 1, j + 1) for i, j in scales.assignment(table) if table[i, j] <= 0.72}
     assert {(x["factor"], x["source"], x["target"]) for x in run("hungarian_match")} == matched
     assert {x["factor"]: x["matches"] for x in run("correspondence_summary")} == {k: n for k in costs if (n := sum(m[0] == k for m in matched))}
-    near = run("nearest_parent_levels")
+    near = run("nearest_parent")
     assert {x["factor"] for x in near} == {2, 4, 8} and len(near) == 3 * len(set(fine.values()))
 
 
@@ -218,3 +217,149 @@ def test_sensitivity_reports_the_variants_and_their_measures(spark, tmp_path):
     assert got["coarser_partition"]["micro_regions"] <= got["finer_partition"]["micro_regions"]
     assert got["conservative_merges"]["merge_nodes"] <= got["permissive_merges"]["merge_nodes"] < got["permissive_merges"]["micro_regions"]
     assert all(x["native_relationships"] > 0 and x["residual_bytes"] > 0 and x["mse"] >= 0 and 0 < x["psnr"] <= 99 and x["ssim"] <= 1 for x in got.values())
+
+
+def test_configuration_is_checked_setting_by_setting():
+    assert config.faults({"slicSegments": 181, "scaleLevels": [9], "topology": "8", "residualEnabled": 1, "mergeEnergyWeights": {"rate": 11, "other": 1}, "graphK": 2.5, "appearanceModelCandidates": ["cubic"], "unknown": 1}) != []
+    assert len(config.faults({"slicSegments": 181, "graphK": 2.5})) == 2 and config.faults(config.DEFAULTS) == []
+    one = config.resolve({"slicCompactness": 5, "x": {"b": 1, "a": [True, None, "ü"]}})
+    assert one["slicCompactness"] == 5 and one["x"]["b"] == 1 and config.DEFAULTS["slicCompactness"] == 10.0
+    assert config.canonical_json({"b": [1, 2.5], "a": "ü"}) == '{"a":"\\u00fc","b":[1,2.5]}'
+    assert set(config.DEFAULTS) == set(config.resolve())
+
+
+def test_absorb_tiny_equals_brute_force():
+    r = np.random.RandomState(2)
+    for _ in range(40):
+        labels = r.randint(1, 6, (r.randint(2, 9), r.randint(2, 9)))
+        least = int(r.randint(1, 8))
+        want = labels.copy()
+        for k in range(1, 6):
+            own = {(int(y), int(x)) for y, x in np.argwhere(want == k)}
+            if not own or len(own) >= least:
+                continue
+            ring = {(y + b, x + a) for y, x in own for b, a in ((0, 1), (0, -1), (1, 0), (-1, 0))} - own
+            votes: dict = {}
+            for y, x in ring:
+                if 0 <= y < labels.shape[0] and 0 <= x < labels.shape[1]:
+                    votes[want[y, x]] = votes.get(want[y, x], 0) + 1
+            if votes:
+                taker = min(votes, key=lambda v: (-votes[v], v))
+                for y, x in own:
+                    want[y, x] = taker
+        assert np.array_equal(segmentation.absorb_tiny(labels, least), np.unique(want, return_inverse=True)[1].reshape(labels.shape) + 1)
+
+
+def test_residual_file_is_readable_and_its_prefix_the_longest(spark, bands):
+    p = recon.constant(regions.grid_labels(bands, 24, 16, 4))
+    ranked = saved(recon.top_residuals(recon.residual_candidates(p, 2), 1000))
+    rows = sorted(ranked.collect(), key=lambda x: x["rank"])
+    r = recon.residual_within_budget(ranked, 24, 16, 2, 1200).first()
+    back = recon.read_residual_file(r["payload"])
+    kept = sorted((x["y"] * 24 + x["x"], x["qr"], x["qg"], x["qb"]) for x in rows[: r["kept"]])
+    assert [(int(i), *map(int, v)) for i, v in zip(back["indices"], back["values"], strict=True)] == kept
+    assert back["shape"].tolist() == [16, 24, 3] and back["quantizationStep"].tolist() == [2] and back["values"].dtype == np.int8
+    if r["kept"] < len(rows):
+        more = sorted((x["y"] * 24 + x["x"], x["qr"], x["qg"], x["qb"]) for x in rows[: r["kept"] + 1])
+        assert len(recon.residual_file(indices=[x[0] for x in more], values=[x[1:] for x in more], shape=(16, 24, 3), quantizationStep=[2])) > 1200
+
+
+def chain_image(spark, labels, edge=0.0):
+    rows = [(0, y, x, v, edge, 50.0, 0.0, 0.0, 0.1) for y, row in enumerate(labels) for x, v in enumerate(row)]
+    return spark.createDataFrame(rows, "image_id long, y int, x int, label int, edge_strength double, lab_l double, lab_a double, lab_b double, complexity double")
+
+
+def test_a_chain_of_equal_parts_merges_to_one_root(spark):
+    p = chain_image(spark, [[1] * 6 + [2] * 6 + [3] * 6] * 12)
+    c = config.resolve({"mergeEnergyThreshold": 1.0, "maxEntityAreaFraction": 1.0})
+    t = tree.merge_tree(p, c).collect()
+    made = [x for x in t if x["delta_j"] is not None]
+    assert len(made) == 2 and [x["leaves"] for x in t if x["parent"] is None] == [3]
+    e = tree.merge_evidence(p, c).orderBy("iteration").collect()
+    assert [x["accepted"] for x in e] == [True, True] and e[0]["boundary"] == 0.0 and e[0]["rate"] == pytest.approx(-1 / 216)
+
+
+def test_merges_are_ruled_out_with_their_reason(spark):
+    p = chain_image(spark, [[1] * 8 + [2] * 8] * 12, edge=1.0)
+    reasons = lambda q, **k: [x["reason"] for x in tree.merge_evidence(q, config.resolve({"maxEntityAreaFraction": 1.0, **k})).collect()]
+    assert reasons(p, edgeBarrierThreshold=0.25) == ["edge_barrier"] and reasons(p, edgeBarrierThreshold=1.0, mergeEnergyThreshold=10) == [None]
+    assert reasons(p, maxEntityAreaFraction=0.72) == ["max_area"] and reasons(p, edgeBarrierThreshold=1.0, mergeEnergyThreshold=-10) == ["energy_threshold"]
+    apart = chain_image(spark, [[1, 2, 3, 1], [1, 2, 3, 1]])
+    found = {(x["source"], x["target"]): x["reason"] for x in tree.merge_evidence(apart, config.resolve({"maxEntityAreaFraction": 1.0, "mergeEnergyThreshold": -10})).collect()}
+    assert found[("region-1", "region-2")] == found[("region-1", "region-3")] == "not_4_connected" and ("region-2", "region-3") not in found
+    c = tree.accepted_merges(tree.merge_evidence(p, config.resolve({"maxEntityAreaFraction": 1.0, "edgeBarrierThreshold": 1.0, "mergeEnergyThreshold": 10}))).first()
+    assert (c["accepted"], c["rejected"]) == (1, 0)
+
+
+def test_stage_messages_follow_the_intervals(spark):
+    said = [("a", "one"), ("a", " one "), ("a", ""), ("a", "two"), ("b", ""), ("b", "x  y"), ("a", "one"), *[("c", f"m{i % 9}") for i in range(12)], ("c", "m0")]
+    d = spark.createDataFrame([(1, k, s, 0, 100 * k, m) for k, (s, m) in enumerate(said)], "job long, seq long, stage string, percent int, now_ms long, message string")
+    got: dict = {}
+    for x in sorted(jobs.stage_messages(d).collect(), key=lambda x: (x["island"], x["place"])):
+        got.setdefault((x["island"], x["stage"]), []).append((x["text"], x["offset_ms"]))
+    assert got[1, "a"] == [("one", 0), ("two", 300)] and got[2, "b"] == [("", 0), ("x y", 100)] and got[3, "a"] == [("one", 0)]
+    kept: list = []
+    for k in [i % 9 for i in range(12)] + [0]:
+        if k not in kept:
+            kept = [*kept, k][-8:]
+    assert [m for m, _ in got[4, "c"]] == [f"m{k}" for k in kept]
+    label = spark.range(1).select(jobs.stage_label(F.lit("merge_tree")).alias("a"), jobs.stage_label(F.lit("own_new_stage")).alias("b")).first()
+    assert tuple(label) == ("Energy merge tree", "Own New Stage")
+
+
+def test_remaining_time_of_studies(spark):
+    j = spark.createDataFrame([
+        (1, "running", 2, "sensitivity", 90, 100_000, "Running variant 2 of 2"), (2, "running", 5, "segmentation", 20, 60_000, ""), (3, "running", 1, "queued", 0, 0, ""),
+        (4, "running", 0, "segmentation", 50, 1, ""), (5, "completed", 2, "sensitivity", 90, 1, ""), (6, "running", 1, "segmentation", 50, 500_000, ""), (7, "running", 1, "segmentation", 50, 177_000, ""),
+    ], "job long, status string, variants int, stage string, percent int, elapsed long, message string")
+    got = {x["job"]: (x["basis"], x["eta_low"], x["eta_high"]) for x in jobs.eta(j).collect()}
+    assert got[1] == ("sensitivity_variant", 21_000, 60_000) and got[2] == ("observed_progress", 144_000, 348_000) and got[3] == ("advanced_budget", 18_000, 60_000)
+    assert got[4] == got[5] == got[6] == (None, None, None) and got[7] == ("observed_progress", 5_000, 5_000)
+
+
+def test_receipts_name_what_the_supervisor_saw(spark):
+    rows = [(k, o, "merge_tree", 10, 5, True, True, r) for k, (o, r) in enumerate([("spawn", False), ("silence", False), ("silence", True), ("budget", True), ("exit", True), ("malformed", True), ("other", True), ("cancelled", True)])]
+    got = {x["job"]: (x["category"], x["spawned"], x["elapsed_ms"]) for x in jobs.failure_receipts(spark.createDataFrame(rows, "job long, outcome string, stage string, created long, ended long, spawned boolean, heartbeat boolean, ready boolean")).collect()}
+    names = ["spawn_failure", "startup_silence", "stage_silence", "process_budget", "engine_exit", "malformed_completion", "unexpected_failure"]
+    assert got == {k: (n, n != "unexpected_failure", 0) for k, n in enumerate(names)}
+
+
+def test_documents_of_unknown_versions_are_errors(spark):
+    d = spark.createDataFrame([('{"representation_version": "9.0"}',)], "body string")
+    with pytest.raises(Exception, match="Unsupported representation version: 9.0"):
+        evidence.read_documents(d).collect()
+    with pytest.raises(Exception, match="no entity z"):
+        evidence.lookup(spark.createDataFrame([("a", 1)], "id string, v int"), "z").collect()
+
+
+def test_a_whole_run(spark, tmp_path):
+    pixels = saved(rasters.generated(spark, 36, 28, rasters.bands(36, perturbed=True)))
+    run = analysis.analyze(pixels, 36, 28, {"scaleLevels": [1, 2], "slicSegments": 18, "slicCompactness": 8, "minimumRegionPixels": 2, "mergeEnergyThreshold": 0.5})
+    kinds = {x["type"]: x["count"] for x in run.entities.groupBy("type").count().collect()}
+    assert kinds["image"] == 1 and kinds["micro_region"] >= 3
+    every = run.entities.collect()
+    ids = {x["id"] for x in every}
+    assert len(ids) == len(every) and all(x["parent"] is None or x["parent"] in ids for x in every) and all(len(x["vector"]) == 31 for x in every)
+    area = {x["id"]: x["area"] for x in every}
+    kids: dict = {}
+    for x in every:
+        if x["parent"]:
+            kids.setdefault(x["parent"], []).append(x["area"])
+    assert area["image-root"] == 36 * 28 and all(sum(v) == area[k] for k, v in kids.items())
+    edges = run.relationships.collect()
+    families = {x["family"] for x in edges}
+    assert {"native", "containment"} <= families and sum(x["family"] == "containment" for x in edges) == len(every) - 1
+    assert len({(x["a"], x["b"], tuple(x["kinds"]), x["confidence"], x["factor"]) for x in edges}) == len(edges)
+    m = {x["name"]: x for x in run.measures.collect()}
+    assert set(m) == {"level1", "level2", "level3", "level4", "parametric", "residual"} and m["residual"]["mse"] <= m["parametric"]["mse"] and m["level1"]["mse"] <= m["level4"]["mse"]
+    assert run.matches.count() > 0 and run.gate.first()["status"] == "completed"
+    files = {x["artifact"]: x["bytes"] for x in analysis.write_run(run, str(tmp_path / "run")).collect()}
+    assert {"reconstructions/residual.png", "errors/evidence/level1.delta-rgb.gz", "overlays/complexity.png"} <= set(files) and min(files.values()) > 0
+    doc = spark.read.text(str(tmp_path / "run/representation")).first()["value"]
+    back = evidence.read_documents(spark.createDataFrame([(doc,)], "body string")).first()
+    assert back["version"] == config.SCHEMA_VERSION and {x["id"] for x in back["entities"]} == ids
+    assert spark.read.parquet(str(tmp_path / "run/features")).count() == 36 * 28
+    with pytest.raises(ValueError, match="exceed"):
+        analysis.analyze(pixels, 3600, 2800)
+    outline = analysis.svg(run.pixels).first()["svg"]
+    assert outline.count("<path") == kinds["micro_region"] and sum(int(n) for n in re.findall(r"h(\d+)v1", outline)) == 36 * 28
