@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from pixrel.llm.common import map_arrow, texts
 
 #: Distinct chunks and words kept per Python worker; beyond it a cache starts anew, results are the same.
-CACHE_CHUNKS, CACHE_WORDS = 700_000, 900_000
+CACHE_CHUNKS, CACHE_WORDS = 400_000, 400_000
 #: Below this letter, classes of characters are the same in every version of Unicode that the libraries use.
 STABLE = "\u0250"
 
