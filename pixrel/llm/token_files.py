@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from pixrel.llm.common import map_arrow, n_parts, remove, scratch, texts
 
 #: Tokens of a block (whole documents, so the last may pass it), tokens between checkpoints, longest code.
 BLOCK_TOKENS, CHECKPOINT, MAX_BITS = 262_144, 64, 18
-#: Bytes of text that the library encodes at once, about.
-PIECE = 1 << 20
+#: Bytes of text that are encoded at once, about; chunks that a generation remembers.
+PIECE, CHUNKS = 1 << 20, 500_000
 FILE_SCHEMA = "part int, first long, start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, checkpoints binary, payload binary"
 
 
@@ -116,50 +117,81 @@ def range_buckets(docs: DataFrame, id_col: str, n: int) -> list[int]:
     return sorted(set(found or []))
 
 
-_LIBRARIES: dict[str, Tokenizer] = {}
-
-
-def library(path: str) -> Tokenizer:
-    """One tokenizer of a file a Python worker, without truncation and padding, on the task's own thread."""
-    if path not in _LIBRARIES:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _LIBRARIES[path] = t
-    return _LIBRARIES[path]
+class ChunkEncoder:
+    """Texts to ids with the library, which encodes each chunk between white space once and is not asked again.
 
+    No token holds white space and nothing before the tokens looks across it, so a text's ids are those of its chunks;
+    encoding whole texts anew takes more than twice the time that this operator may take. New chunks are encoded
+    together, as one text, and told apart by where their ids begin. Chunks are remembered in two generations, the
+    older of which goes when the newer is full.
+    """
 
-def pieces(text: bytes, most: int = PIECE) -> list[str]:
-    """A text in pieces of about most bytes that begin at white space, which no token holds, so that a long text's tokens are not all in memory at once."""
-    out, at = [], 0
-    while len(text) - at > most:
-        cut = _BLANK.search(text, at + most)
-        if not cut:
-            break
-        out.append(text[at : cut.start()].decode())
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # on the task's own thread
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def learn(self, chunks: set[bytes]) -> None:
+        new = []
+        for c in chunks:
+            if (ids := self.older.get(c)) is None:
+                new.append(c)
+            else:
+                self.known[c] = ids
+        if not new:
+            return
+        words = [c.decode() for c in new]
+        e = self.library.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(e.ids, "<u4").tobytes()
+        first = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e.ids))[::2]
+        cut = np.searchsorted(first, np.cumsum([0, *(len(w) + 1 for w in words[:-1])])).tolist()
+        self.known.update(zip(new, (ids[4 * a : 4 * b] for a, b in zip(cut, [*cut[1:], len(e.ids)], strict=True)), strict=True))
+
+    def encode(self, batch: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        if len(self.known) > CHUNKS:
+            self.older, self.known = self.known, {}
+        split = [t.split() for t in batch]
+        if new := set(chain.from_iterable(split)).difference(self.known):
+            self.learn(new)
+        get = self.known.__getitem__
+        return [b"".join(map(get, s)) for s in split]
+
+
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """One encoder of a file a Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
+def pieces(text: bytes, most: int) -> Iterator[bytes]:
+    """A text in pieces of about most bytes that begin at white space, so that a long text's chunks are not all in memory at once."""
+    at = 0
+    while len(text) - at > most and (cut := _BLANK.search(text, at + most)):
+        yield text[at : cut.start()]
         at = cut.start()
-    return [*out, text[at:].decode()]
+    yield text[at:] if at else text
 
 
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def encoded(t: Tokenizer, rows: list[bytes], end_id: int) -> list[np.ndarray]:
-    """Ids of each text, and end_id, as the library encodes it."""
-    out = []
-    short = iter(t.encode_batch_fast([x.decode() for x in rows if len(x) <= PIECE], add_special_tokens=False))
-    for x in rows:
-        if len(x) <= PIECE:
-            ids = [np.array(next(short).ids, "<u4")]
-        else:  # piece by piece
-            ids = [np.array(t.encode_batch_fast([y], add_special_tokens=False)[0].ids, "<u4") for y in pieces(x)]
-        out.append(np.concatenate([*ids, np.array([end_id], "<u4")]))
-    return out
+def encoded(enc: ChunkEncoder, rows: list[bytes], end_id: int, piece: int) -> list[np.ndarray]:
+    """Ids of each text, and end_id."""
+    short = iter(enc.encode([x for x in rows if len(x) <= piece]))
+    end = end_id.to_bytes(4, "little")
+    return [np.frombuffer((next(short) if len(x) <= piece else b"".join(enc.encode([y])[0] for y in pieces(x, piece))) + end, "<u4") for x in rows]
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, text: str = "text", id_col: str = "doc_id", blocks: int = BLOCK_TOKENS) -> None:
-    """Encode each text with the tokenizers library, append end_id, and write ids to path in ascending order of doc_id.
+    """Encode each text with the tokenizers library (chunk by chunk, see ChunkEncoder), append end_id, and write ids to path in ascending order of doc_id.
 
     path/blocks holds Parquet rows of FILE_SCHEMA, each a block that decodes on its own; path/codes holds the code
     lengths. Null texts are empty (the end id alone); null ids come first; rows of one id are ordered by a hash of
@@ -173,12 +205,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     ranged = d.repartitionByRange(n_parts(spark, d), *order).sortWithinPartitions(*order, "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, part = library(tokenizer_path), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         at = start = 0
         for batch in batches:
             doc_ids, rows = batch.column("doc_id"), texts(batch)
             for a, b in runs(rows):
-                ids = encoded(t, rows[a:b], end_id)
+                ids = encoded(enc, rows[a:b], end_id, PIECE)
                 ends = np.cumsum([len(x) for x in ids])
                 yield pa.RecordBatch.from_arrays([pa.array([part] * (b - a), pa.int32()), pa.array(range(at, at + b - a), pa.int64()), doc_ids[a:b], pa.array(start + ends - [len(x) for x in ids]), pa.array([narrow(x) for x in ids], pa.binary())], names=["part", "at", "doc_id", "start", "ids"])
                 at += b - a
@@ -202,7 +234,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     def widen(ids: bytes) -> np.ndarray:
         return np.frombuffer(ids, "<u2" if small else "<u4").astype(np.int64)
 
-    size = max(library(tokenizer_path).get_vocab_size(), end_id + 1)
+    size = max(encoder(tokenizer_path).library.get_vocab_size(), end_id + 1)
     small = size <= 1 << 16
     kept = scratch(spark, "ids")
     map_arrow(ranged, encode, "part int, at long, doc_id long, start long, ids binary").write.option("compression", "zstd").parquet(kept)

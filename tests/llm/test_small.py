@@ -192,3 +192,14 @@ def test_split_repeats_match_brute_force():
 def test_merged_runs():
     start, end = suffix.merged(np.array([50, 0, 5, 20, 60]), np.array([60, 5, 9, 30, 61]))
     assert start.tolist() == [0, 20, 50] and end.tolist() == [9, 30, 61]
+
+
+def test_chunks_are_encoded_as_whole_texts_are(monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    enc, r = token_files.ChunkEncoder(path), random.Random(1)
+    monkeypatch.setattr(token_files, "CHUNKS", 300)  # generations change
+    letters = ["a", "İ", "Σ", "ς", "e\u0301", "\u0308", "'s", "'S", "<|endoftext|>", "<|", "日本", "\xa0", "\u2009", "\x85", "\x1c", "1", "!", "..", "ß", "ﬁ", "K", "\u200b", "THE", "word"]
+    for _ in range(400):
+        rows = [r.choice([" ", "\n", " \t "]).join("".join(r.choice(letters) for _ in range(r.randint(1, 5))) for _ in range(r.randint(0, 5))) for _ in range(5)]
+        want = [[*enc.library.encode(x, add_special_tokens=False).ids, 1] for x in rows]
+        assert [x.tolist() for x in token_files.encoded(enc, [x.encode() for x in rows], 1, r.choice([4, 30, 1000]))] == want
