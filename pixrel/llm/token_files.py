@@ -131,6 +131,7 @@ class ChunkEncoder(dict[bytes, bytes]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # on the task's own thread
         self.splitter = WordSplitter(path)
         self.library = self.splitter.library
+        self.lower = self.library.normalizer is not None and self.library.normalizer.normalize_str("AZ") == "az"
         self.older: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
         self.older_words: dict[bytes, bytes] = {}
@@ -158,7 +159,8 @@ class ChunkEncoder(dict[bytes, bytes]):
         if len(self.words) > CHUNKS:
             self.older_words, self.words = self.words, {}
         get = self.__getitem__
-        return [b"".join(map(get, t.split())) for t in batch]
+        # letters that the library makes lower case anyway need not be told apart; special tokens are matched as they are
+        return [b"".join(map(get, (t.lower() if self.lower and b"<" not in t else t).split())) for t in batch]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -207,14 +209,18 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         at = start = 0
+        counts = np.zeros(size, np.int64)
         for batch in batches:
             doc_ids, rows = batch.column("doc_id"), texts(batch)
             for a, b in runs(rows):
                 ids = encoded(enc, rows[a:b], end_id, PIECE)
                 ends = np.cumsum([len(x) for x in ids])
-                yield pa.RecordBatch.from_arrays([pa.array([part] * (b - a), pa.int32()), pa.array(range(at, at + b - a), pa.int64()), doc_ids[a:b], pa.array(start + ends - [len(x) for x in ids]), pa.array([narrow(x) for x in ids], pa.binary())], names=["part", "at", "doc_id", "start", "ids"])
+                counts += np.bincount(np.concatenate(ids), minlength=size)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * (b - a), pa.int32()), pa.array(range(at, at + b - a), pa.int64()), doc_ids[a:b], pa.array(start + ends - [len(x) for x in ids]), pa.array([narrow(x) for x in ids], pa.binary()), pa.nulls(b - a, pa.binary())], names=names)
                 at += b - a
                 start += int(ends[-1])
+        if at:  # how often the part has each id, in a row of its own
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=names)
 
     def runs(rows: list[bytes]) -> Iterator[tuple[int, int]]:
         """Slices of rows of about PIECE bytes, 256 rows at most."""
@@ -234,20 +240,22 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     def widen(ids: bytes) -> np.ndarray:
         return np.frombuffer(ids, "<u2" if small else "<u4").astype(np.int64)
 
+    names = ["part", "at", "doc_id", "start", "ids", "counts"]
     size = max(encoder(tokenizer_path).library.get_vocab_size(), end_id + 1)
     small = size <= 1 << 16
     kept = scratch(spark, "ids")
-    map_arrow(ranged, encode, "part int, at long, doc_id long, start long, ids binary").write.option("compression", "zstd").parquet(kept)
+    map_arrow(ranged, encode, "part int, at long, doc_id long, start long, ids binary, counts binary").write.option("compression", "zstd").parquet(kept)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            total += np.bincount(widen(b"".join(batch.column(0).to_pylist())), minlength=size)
+            for raw in batch.column(0).to_pylist():
+                total += np.frombuffer(zlib.decompress(raw), np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
     # a row for each id of the vocabulary at most
-    found = map_arrow(spark.read.parquet(kept).select("ids"), count, "id long, n long").groupBy("id").agg(F.sum("n")).collect()
+    found = map_arrow(spark.read.parquet(kept).select("counts").filter("counts is not null"), count, "id long, n long").groupBy("id").agg(F.sum("n")).collect()
     counts = np.zeros(size, np.int64)
     for i, c in found:
         counts[i] = c
@@ -266,6 +274,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "doc_id", "start", "ids")), strict=True):
+                if row[1] is None:
+                    continue  # a row of counts
                 if held and (row[0] != held[0][0] or row[1] != held[-1][1] + 1 or total >= blocks):
                     yield flush()
                     held, total = [], 0
@@ -276,7 +286,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
 
     file_schema = to_arrow_schema(_parse_datatype_string(FILE_SCHEMA))
     # a split of the kept table is a run of a part's rows in order, so no shuffle
-    map_arrow(spark.read.parquet(kept), code, FILE_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
+    map_arrow(spark.read.parquet(kept).drop("counts"), code, FILE_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
     remove(spark, kept)
 
 
