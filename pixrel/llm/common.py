@@ -45,14 +45,14 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 #: Bytes of input that one partition of an operator's own exchanges is meant for at most.
-PART_BYTES = 128 << 20
+PART_BYTES, MOST_PARTS = 128 << 20, 1 << 17
 
 
 def n_parts(spark: SparkSession, df: DataFrame | None = None) -> int:
     """Partitions of an exchange: the session's number, more where the files of df hold over PART_BYTES for each."""
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) if df is not None else 0
-    return max(n, -(-size // PART_BYTES)) if size < 1 << 60 else n  # plans without files have no size
+    return max(n, min(MOST_PARTS, -(-size // PART_BYTES))) if size < 1 << 50 else n  # plans without files claim a share of 2**63
 
 
 #: Rows of a side that is broadcast at most.
