@@ -35,6 +35,11 @@ def test_chains_beyond_a_hundred_steps(spark):
     assert got == {(i, j): i - j for i in range(150) for j in range(i)}
 
 
+def test_subtrees_beyond_a_hundred_steps(spark):
+    got = {int(r["node"]): (r["descendants"], r["height"]) for r in tree.subtree_sizes(path_tree(spark, 150)).collect()}
+    assert got == {i: (149 - i, 149 - i) for i in range(149)}
+
+
 def test_parents_in_a_circle_are_an_error(spark):
     with pytest.raises(ValueError, match="circle"):
         tree.parent_chains(spark.createDataFrame([(0, "a", "b"), (0, "b", "a"), (0, "c", "a")], "image_id long, node string, parent string"))
