@@ -49,3 +49,10 @@ def test_ties_of_bytes_are_rounded_as_in_sql(spark, tmp_path):
     prices = [178.5, 452.5, 690.5, 964.5, 1202.5, 1476.5, 100.25, 20.5, 21.5]
     spark.createDataFrame(list(enumerate(prices)), "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     assert differences(spark, tmp_path, "formatted") == (set(), set())
+
+
+@pytest.mark.parametrize("name", ["match_cost"])
+def test_images_with_missing_rows(spark, tmp_path, name):
+    r = random.Random(8)
+    spark.createDataFrame([(k, [r.uniform(-1, 1) for _ in range(64)]) for k in range(56)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert differences(spark, tmp_path, name) == (set(), set())
