@@ -51,7 +51,7 @@ def test_ties_of_bytes_are_rounded_as_in_sql(spark, tmp_path):
     assert differences(spark, tmp_path, "formatted") == (set(), set())
 
 
-@pytest.mark.parametrize("name", ["match_cost", "nearest_parent"])
+@pytest.mark.parametrize("name", ["match_cost", "nearest_parent", "pixel_features"])
 def test_images_with_missing_rows(spark, tmp_path, name):
     r = random.Random(8)
     spark.createDataFrame([(k, [r.uniform(-1, 1) for _ in range(64)]) for k in range(56)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
