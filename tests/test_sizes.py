@@ -56,3 +56,18 @@ def test_images_with_missing_rows(spark, tmp_path, name):
     r = random.Random(8)
     spark.createDataFrame([(k, [r.uniform(-1, 1) for _ in range(64)]) for k in range(56)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert differences(spark, tmp_path, name) == (set(), set())
+
+
+def test_a_saved_table_leaves_no_shuffle_behind(spark):
+    spark.conf.unset(CLEANUP)
+    spark._jvm.System.gc()
+    blocks = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle" in x}
+    before = blocks()
+    kept = saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n")))
+    for _ in range(50):
+        if not blocks() - before:
+            break
+        time.sleep(0.1)
+    assert not blocks() - before
+    assert spark.conf.get(CLEANUP) == "false"
+    assert kept.agg(F.sum("n")).first()[0] == 1000
