@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from pixrel.llm import jaccard
 from pixrel.operators import tree
 from pixrel.plans import queries, run_queries  # noqa: F401
 from pixrel.plans.shared import CLEANUP, saved
@@ -71,3 +72,19 @@ def test_a_saved_table_leaves_no_shuffle_behind(spark):
     assert not blocks() - before
     assert spark.conf.get(CLEANUP) == "false"
     assert kept.agg(F.sum("n")).first()[0] == 1000
+
+
+@pytest.mark.parametrize("odd", [[], [(5, "w2 a b c d e f g h"), (5, "another text of six words here"), (None, "a text without an id"), (None, None)]])
+def test_near_duplicates_shuffle_texts_once(spark, tmp_path, odd):
+    rows = [(i, f"w{i // 2} a b c d e f g h") for i in range(100)]
+    spark.createDataFrame(rows + odd, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = jaccard.keep_one(spark.read.parquet(f"{tmp_path}/docs"))
+        got = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum("FileScan" in line and "text#" in line for line in plan.split("\n")) == 1
+    assert len(got) == len({g["text"] for g in got}) == 50 + len(odd[1:])
