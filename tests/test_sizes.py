@@ -41,6 +41,12 @@ def test_subtrees_beyond_a_hundred_steps(spark):
     assert got == {i: (149 - i, 149 - i) for i in range(149)}
 
 
+def test_trees_of_keys_with_gaps_and_repeats(spark, tmp_path):
+    keys = [*range(30), *range(1000, 1030), *range(1000, 1010), None]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    assert differences(spark, tmp_path, "subtree_sizes") == (set(), set())
+
+
 def test_parents_in_a_circle_are_an_error(spark):
     with pytest.raises(ValueError, match="circle"):
         tree.parent_chains(spark.createDataFrame([(0, "a", "b"), (0, "b", "a"), (0, "c", "a")], "image_id long, node string, parent string"))
